@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import chat_format, exact_dedup, mixing, resharding
+from askframe.llm import chat_format, exact_dedup, mixing, packing, resharding, token_counts, toxicity, warc
 from askframe.llm.common import words
 
 
@@ -15,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; every machine has them installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each section of each document; one that crosses a boundary counts where most of its bytes lie."""
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"), "most")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    x = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return x.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations formatted, and what a reader gets back from the output."""
     own = spark.sql("SELECT -7L AS conv_id, i AS turn, IF(i = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L), (1L) AS t(i)")
@@ -31,6 +50,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each document gives to the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("n_words"))
@@ -38,6 +62,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    x = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+|null)>$", 1)
+    page = F.when(number("record_id") != "null", number("record_id")).cast("long")
+    return x.select(
+        page.alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.when(F.col("refers_to").isNotNull(), number("refers_to")).cast("long").alias("refers_to"),
+        F.length(F.decode("payload", "UTF-8")).cast("long").alias("payload_chars"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays for it."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", keep="max").drop("row_hash")
@@ -57,8 +96,20 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+QUERIES = (
+    op1_token_counts,
+    op4_toxicity,
+    op5_chat_formatting,
+    op6_packing,
+    op7_mixing,
+    op8_warc,
+    op9_exact_dedup,
+    op10_resharding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_chat_formatting, op7_mixing, op9_exact_dedup, op10_resharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

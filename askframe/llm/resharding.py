@@ -104,9 +104,9 @@ def reshard(df: DataFrame, id_col: str, old: Column, size: Column, shards: int)
     """
     spark = df.sparkSession
     made = ("size", "old_shard", "shard", "slot")
-    key, rank, n, before, salts = free_name(df, "place_key", "place_rank", "place_n", "place_before", "place_salts")
+    key, rank, n, before, salts, own, home = free_name(df, "place_key", "place_rank", "place_n", "place_before", "place_salts", "place_size", "place_old")
     keep = [c for c in df.columns if c.lower() not in made]
-    base = written(df.withColumn("__size", size).withColumn("__old", old).select(*keep, F.col("__size").alias("size"), F.col("__old").alias("old_shard")))
+    base = written(df.withColumn(own, size).withColumn(home, old).select(*keep, F.col(own).alias("size"), F.col(home).alias("old_shard")))
     per = base.groupBy("old_shard", "size").agg(F.count(F.lit(1)).alias(n))
     bytes_ = F.col("size") * F.col(n)
     line = Window.partitionBy("old_shard").orderBy(F.col("size").desc())
