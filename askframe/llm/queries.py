@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import chat_format, exact_dedup, mixing, ngram_join, packing, resharding, token_counts, toxicity, warc
+from askframe.llm import chat_format, embedding_dedup, exact_dedup, mixing, ngram_join, packing, resharding, token_counts, toxicity, warc
 from askframe.llm.common import words
 
 
@@ -27,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"), "most")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -103,6 +108,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_token_counts,
+    op2_embedding_dedup,
     op3_ngram_join,
     op4_toxicity,
     op5_chat_formatting,
