@@ -1,0 +1 @@
+"""No operator here: questions are answered over bounded tables, and no streaming semantics are part of the query surface."""
