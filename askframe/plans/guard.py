@@ -33,6 +33,9 @@ DENIED = frozenset(
 class GuardError(ValueError):
     """SQL that is refused; the text says why."""
 
+#: Aggregates of one value.
+AGGREGATES = frozenset({"count", "sum", "avg", "min", "max"})
+
 
 @dataclass(frozen=True)
 class Checked:
@@ -59,14 +62,26 @@ def check(spark: SparkSession, sql: str, allowed: list[str], max_rows: int = MAX
     names = {t.lower(): t for t in allowed}
     used: set[str] = set()
     _walk(root, names, frozenset(), used)
-    kind = root.getClass().getSimpleName()
-    single = kind == "Aggregate" and root.groupingExpressions().isEmpty() and _global(root)
-    return Checked(text, tuple(sorted(used)), None if single else max_rows)
+    return Checked(text, tuple(sorted(used)), None if _single_row(root) else max_rows)
+
 
+def _single_row(root) -> bool:
+    """Whether a statement is a global aggregate: only aggregates of one value are selected, and nothing groups them."""
+    if root.getClass().getSimpleName() != "Project":
+        return False
+    found = [_aggregates(e) for e in _items(root.expressions())]
+    return None not in found and any(found)
 
-def _global(root) -> bool:
-    """Whether an Aggregate without keys yields one row (a mere SELECT DISTINCT list would not be one)."""
-    return root.aggregateExpressions().size() > 0
+
+def _aggregates(e) -> bool | None:
+    """True where an expression has an aggregate, False for constants, None where it depends on single rows."""
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction" and _items(e.nameParts())[-1].lower() in AGGREGATES:
+        return True
+    if kind in ("UnresolvedAttribute", "UnresolvedStar", "WindowExpression", "UnresolvedWindowExpression", "UnresolvedGenerator"):
+        return None
+    found = [_aggregates(c) for c in _items(e.children())]
+    return None if None in found else any(found)
 
 
 def _walk(node, names: dict[str, str], ctes: frozenset[str], used: set[str]) -> None:

@@ -189,7 +189,7 @@ def implicit_values(q: Question, index: CatalogIndex, flags: set[str]) -> list[I
             # "customers EUROPE region": the value belongs to what follows it, if that has none of its own
             follows = j < len(words) and hint(words[j])
             own = j + 1 < len(words) and is_value(words[j + 1])
-            if run and not (follows and not own and run[0] == i + 1):
+            if run and not (follows and not own):
                 take(table, run)
     # a value, then the table's word
     for i, w in enumerate(words):
