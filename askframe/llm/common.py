@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="askframe-"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per Spark application; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_askframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="askframe-py-")) / "askframe.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(to))  # the driver serves the file to all executors
+    sc._askframe_shipped = True
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and it outlives executors."""
     spark = df.sparkSession

@@ -292,10 +292,11 @@ def best_fit_pack(cut: DataFrame, window: int, by: list[str], nodes: int = NODES
     ``length`` (1 to ``window``) is the size of a row. Each sequence is gapless from 0. Rows of a length are numbered in the order of
     ``by`` within hash buckets, so that a length that very many rows have is dealt over many tasks. The
     driver sees counts by length, and by bucket (about ``window`` + 16,384 rows at most, however many rows there are). Repeated rows
-    get places of their own. An empty table gives an empty result.
+    get places of their own. An empty table gives an empty result. Columns of ``cut`` with the two new names are replaced.
     """
     spark = cut.sparkSession
-    bucket, rank = free_name(cut, "bucket", "rank")
+    cut = cut.drop("sequence_id", "offset")
+    bucket, rank, salts = free_name(cut, "bucket", "rank", "salts")
     hist = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     if any(not 1 <= k <= window for k in hist):
         raise ValueError(f"lengths must be between 1 and {window}")
@@ -304,8 +305,8 @@ def best_fit_pack(cut: DataFrame, window: int, by: list[str], nodes: int = NODES
     for k, v in hist.items():
         n_buckets[k] = -(-v // per)
     # many lengths have one bucket; those with more are named in an expression of bounded size by way of a small table
-    many = spark.createDataFrame([(int(k), int(n_buckets[k])) for k in hist], "length long, salts long")
-    x = cut.join(F.broadcast(many), "length").withColumn(bucket, F.pmod(F.xxhash64(*by), "salts")).drop("salts")  # at most `window` rows
+    many = spark.createDataFrame([(int(k), int(n_buckets[k])) for k in hist], f"length long, `{salts}` long")
+    x = cut.join(F.broadcast(many), "length").withColumn(bucket, F.pmod(F.xxhash64(*by), F.col(salts))).drop(salts)  # at most `window` rows
     starts: dict[int, np.ndarray] = {k: np.zeros(int(n_buckets[k]) + 1, dtype=np.int64) for k in hist}
     for k, b, n in x.groupBy("length", bucket).count().collect():
         starts[k][b + 1] = n
