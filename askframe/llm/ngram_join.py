@@ -1,7 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Two sets of word shingles with Jaccard similarity of at least t share one of their first
-|S| - ceil(t |S|) + 1 members in any common order. Members are ordered from rare to frequent. Documents with identical prefix
+|S| - ceil(t |S|) + 1 members in any common order. Members are ordered from rare to frequent, and how early the shared
+member stands bounds the similarity. Documents with identical prefix
 and size make one group; only groups are indexed and paired; pairs are expanded to members and verified on whole sets.
 
 Nothing emits all pairs of a group or of a common shingle. In the first round every group is paired with one pivot per
@@ -19,7 +20,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.llm.common import components, drop, written
@@ -39,7 +40,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = got
         return got
@@ -78,16 +79,8 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for b in batches:
-            held = []
             for t in b.column(0):
-                held.append(counter(shingles(t.as_py(), n)))
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 4096:
-                    at, k = np.unique(np.concatenate(held), return_counts=True)
-                    total[at] += k.astype(np.uint32)
-                    held = []
-            if held:
-                at, k = np.unique(np.concatenate(held), return_counts=True)
-                total[at] += k.astype(np.uint32)
+                np.add.at(total, counter(shingles(t.as_py(), n)), 1)
         pack = zstandard.ZstdCompressor(level=1)
         rows = [pack.compress(x.tobytes()) for x in total.reshape(BLOCKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
@@ -129,10 +122,11 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch: Broadcast) -> DataFr
 
 
 def shared_postings(reps: DataFrame, total: int, sketch: Broadcast) -> DataFrame:
-    """(``h``, ``gid``) for prefix shingles that at least two of the groups ``reps`` (``gid``, ``prefix``) have.
+    """(``h``, ``gid``, ``pos``) for prefix shingles that at least two of the groups ``reps`` (``gid``, ``prefix``) have.
 
     Postings travel as packed arrays by block of shingles; a block's task sorts them and passes on those that
-    occur twice. Shingles whose counter stands out by more than HOT_DOCS are shared for certain: they are
+    occur twice. Block and 32 more bits name a shingle: the few that are taken for one another only make candidates more.
+    Shingles whose counter stands out by more than HOT_DOCS are shared for certain: they are
     dealt by group instead and passed on as they are, so every block is bounded.
     """
     blocks = int(min(max(32, total // PER_BLOCK), 1 << 16))
@@ -142,44 +136,48 @@ def shared_postings(reps: DataFrame, total: int, sketch: Broadcast) -> DataFrame
         hs, gs, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            h, g = np.concatenate(hs), np.concatenate(gs)
-            block = ((h >> np.uint64(4)) % np.uint64(blocks)).astype(np.int32)
+            h, g = np.concatenate(hs), np.repeat(np.array(gs, dtype=np.int64), [len(x) for x in hs])
+            pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in hs])
+            own = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
             known = sketch.value[counter(h)] > hot
-            block[known] = blocks + g[known] % blocks
+            block = np.where(known, blocks + g % blocks, own)
             order = np.argsort(block, kind="stable")
-            h, g, block = h[order], g[order], block[order]
+            name = (own << 32 | (h >> np.uint64(32)).astype(np.int64))[order]
+            block, g, pos = block[order], g[order], pos[order]
             where = np.flatnonzero(np.diff(block, prepend=-1))
-            ends = np.append(where[1:], len(block))
-            return pa.RecordBatch.from_arrays([pa.array(block[where]), pa.array([h[i:j].tobytes() for i, j in zip(where, ends)], pa.binary()), pa.array([g[i:j].tobytes() for i, j in zip(where, ends)], pa.binary())], ["block", "hs", "gs"])
+            cut = list(zip(where, np.append(where[1:], len(block))))
+            # within a block of shingles the upper half of the name is the block's
+            names = [(name[i:j] if block[i] >= blocks else name[i:j].astype(np.uint32)).tobytes() for i, j in cut]
+            rest = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (g, pos)]
+            return pa.RecordBatch.from_arrays([pa.array(block[where].astype(np.int32)), pa.array(names, pa.binary()), *rest], ["block", "hs", "gs", "ps"])
 
         for b in batches:
             for g, p in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1)):
-                h = np.frombuffer(p.as_buffer(), dtype=np.uint64)
-                hs.append(h)
-                gs.append(np.full(len(h), g, dtype=np.int64))
-                held += len(h)
-                if held >= 4 << 20:
+                hs.append(np.frombuffer(p.as_buffer(), dtype=np.uint64).copy())
+                gs.append(g)
+                held += len(hs[-1])
+                if held >= PER_BLOCK:
                     yield out()
                     hs, gs, held = [], [], 0
         if held:
             yield out()
 
     def twice(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, gs = [], []
+        block = key[0].as_py()
+        parts: tuple[list, ...] = ([], [], [])
         for b in batches:
-            hs += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column("hs")]
-            gs += [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in b.column("gs")]
-        h, g = np.concatenate(hs), np.concatenate(gs)
-        if key[0].as_py() >= blocks:
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g)], ["h", "gid"])
-            return
-        order = np.argsort(h, kind="stable")
-        h, g = h[order], g[order]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep])], ["h", "gid"])
+            for to, column, kind in zip(parts, ("hs", "gs", "ps"), (np.int64 if block >= blocks else np.uint32, np.int64, np.int32)):
+                to += [np.frombuffer(x.as_buffer(), dtype=kind) for x in b.column(column)]
+        h, g, pos = (np.concatenate(x) for x in parts)
+        if block < blocks:
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            h, g, pos = block << 32 | h[keep].astype(np.int64), g[keep], pos[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(pos)], ["h", "gid", "pos"])
 
-    return reps.select("gid", "prefix").mapInArrow(split, "block int, hs binary, gs binary").groupBy("block").applyInArrow(twice, "h long, gid long")
+    packed = reps.select("gid", "prefix").mapInArrow(split, "block int, hs binary, gs binary, ps binary")
+    return packed.groupBy("block").applyInArrow(twice, "h long, gid long, pos int")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -227,7 +225,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = df.sparkSession.sparkContext.broadcast(frequency_sketch(docs, n))  # 16 MB
     pre = written(prefixes(docs, n, percent, sketch))
-    linkable = pre.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "ph", "sh")
+    own = written(pre.drop("prefix"))
+    linkable = own.where("n > 0 AND doc_id IS NOT NULL")
     # sets that are equal make a class, named by its smallest document; equal prefix and size make a group
     classes = written(linkable.groupBy("n", "ph", "sh").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")))
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
@@ -241,34 +240,42 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
     total = pre.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     reps = pre.where("n > 0 AND doc_id IS NOT NULL").join(small(rest), "doc_id", "left_anti").select(F.col("doc_id").alias("gid"), "prefix")
     posts = written(shared_postings(reps, int(total), sketch))
-    drop(rest)
+    drop(rest, pre)
 
     size = slim.where("cid = gid").select("gid", F.col("n").alias("size"))
     sized = written(posts.join(size, "gid"))
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    drop(posts)
+
+    def may(x: str, y: str) -> Column:
+        """Whether sets of these sizes can be similar if their first common member has these places."""
+        n, m, i, j = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.pos", f"{y}.pos"))
+        return F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)
+
     # first round: each posting with the first group of its shingle, each class with its group
-    pivots = sized.groupBy("h").agg(F.min(F.struct("gid", "size")).alias("p"))
-    first = sized.join(pivots, "h").where("gid <> p.gid").where(fits(F.col("size"), F.col("p.size"))).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
+    pivots = sized.groupBy("h").agg(F.min(F.struct("gid", "size", "pos")).alias("p"))
+    x = sized.alias("x").join(pivots.select(F.col("h").alias("k"), "p"), F.col("h") == F.col("k")).where("gid <> p.gid").where(may("x", "p"))
+    first = x.select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
     first = written(first.unionByName(slim.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct())
     links = verified(first, docs, n, percent)
     comp = written(components(links))
     # second round: what shares a prefix shingle and is not known to be connected
-    label = slim.join(comp, slim.cid == comp.id, "left").select("cid", "gid", "n", F.coalesce("component_id", "cid").alias("comp"))
-    label = written(label)
-    wide = posts.join(label, "gid").select("h", "cid", "n", "comp")
-    open_ = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    wide = written(wide.join(open_, "h", "left_semi"))
-    x, y = wide.alias("x"), wide.alias("y")
-    across = x.join(y, F.col("x.h") == F.col("y.h")).where("x.cid < y.cid AND x.comp <> y.comp").where(fits(F.col("x.n"), F.col("y.n")))
+    label = written(slim.join(comp, slim.cid == comp.id, "left").select("cid", "gid", "n", F.coalesce("component_id", "cid").alias("comp")))
+    wide = sized.join(label.drop("n"), "gid")
+    # of a shingle's postings, those that are early enough to go with the smallest set there is under it
+    open_ = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")).where("lo <> hi").select("h", "least")
+    early = 100 * F.col("size") - (100 + percent) * F.col("pos") >= percent * F.col("least")
+    wide = written(wide.join(open_, "h").where(early).drop("least"))
+    across = wide.alias("x").join(wide.alias("y"), F.col("x.h") == F.col("y.h")).where("x.cid < y.cid AND x.comp <> y.comp").where(may("x", "y"))
     across = across.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     inside = label.alias("x").join(label.alias("y"), F.col("x.gid") == F.col("y.gid")).where("x.cid < y.cid AND x.comp <> y.comp").where("x.gid <> x.cid OR y.gid <> y.cid")
     inside = inside.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     second = written(across.unionByName(inside).distinct().join(first, ["a", "b"], "left_anti"))
     more = verified(second, docs, n, percent)
+    drop(sized, first, wide, second)
     ends = comp if more.isEmpty() else components(links.unionByName(more))
 
     # classes to documents
-    base = pre.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    base = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     of = label.select("cid").join(ends, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("component_id", "cid").alias("component_id"))
     mine = of.select(F.col("cid").alias("doc_id"), "component_id").where("doc_id <> component_id")
     theirs = members.join(of, "cid").select("doc_id", "component_id")
