@@ -155,7 +155,7 @@ ORACLE_SQL = {
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(safe + CASE WHEN opens THEN {len(chat_format.START) + 1 + len(chat_format.END)} + length(role) ELSE {len(chat_format.NEXT)} END)::BIGINT AS formatted_chars
-        FROM m GROUP BY conv_id""".replace("\\\\", "\\"),
+        FROM m GROUP BY conv_id""",
     # base32: five bits at a time out of three hex digits
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '00' AS h FROM pages),
