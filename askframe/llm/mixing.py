@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from askframe.llm.common import free_name, rank_within, words, written
+from askframe.llm.common import drop, free_name, rank_within, words, written
 
 #: Rows of one (source, size) numbered by one window.
 PER_BUCKET = 512
@@ -62,8 +62,9 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
     per = per.withColumn(before, F.sum(n).over(Window.partitionBy(src).orderBy("size")) - F.col(n))
     per = per.withColumn(at, F.ceil(F.col(n) / PER_BUCKET)).withColumn(key, F.concat(F.col("size").cast("string"), F.lit("/"), F.col(src)))
     per = written(per.join(goal, src).drop(n))
-    x = base.join(per, [src, "size"])
-    x = rank_within(written(x), key, [id_col], F.col(at), rank)
+    x = written(base.join(per, [src, "size"]))
+    drop(base, per)
+    x = rank_within(x, key, [id_col], F.col(at), rank)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # one offset in [0, 1) for each source, from the seed
     offset = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 20)) / float(1 << 20)
@@ -74,7 +75,21 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents of the mix, each row repeated as often as it is taken, columns as in ``docs``."""
-    x = mix(docs, "doc_id", "source", words(F.col("text")), seed=seed)
-    times = free_name(x, "time")[0]
-    return x.where("copies > 0").withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The documents of the mix, each row repeated as often as it is taken, columns as in ``docs``.
+
+    Ids, sources and sizes are mixed on their own; texts move once, to meet the result by these three. Rows that
+    agree in them share out their numbers of copies in any order.
+    """
+    size, n, rows, total, time, i, s, z = free_name(docs, "size", "n", "rows", "total", "time", "id_key", "source_key", "size_key")
+    slim = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"))
+    mixed = mix(slim, "doc_id", "source", F.col("n_words"), seed=seed)
+    taken = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)).where(F.col(total) > 0)
+    taken = written(taken.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), total, rows))
+    x = docs.withColumn(size, words(F.col("text")))
+    x = x.join(taken, x.doc_id.eqNullSafe(taken[i]) & x.source.eqNullSafe(taken[s]) & (x[size] == taken[z]))
+    once = x.where(F.col(rows) == 1).withColumn(n, F.col(total))
+    if not taken.where(F.col(rows) > 1).isEmpty():
+        place = F.row_number().over(Window.partitionBy(i, s, z).orderBy("text")) - 1
+        several = x.where(F.col(rows) > 1).withColumn(n, F.floor(F.col(total) / F.col(rows)) + (place < F.col(total) % F.col(rows)).cast("long"))
+        once = once.unionByName(several.where(F.col(n) > 0))
+    return once.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

@@ -212,6 +212,11 @@ def test_mix_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s")] * 10 + [(None, None, None)] * 3, "doc_id long, text string, source string")
     got = mixing.mix(df, "doc_id", "source", words(F.col("text"))).collect()
     assert sorted((str(r.source), r.copies) for r in got) == [("None", 0)] * 3 + [("s", 1)] * 10
+    more = df.unionByName(spark.createDataFrame([(i, "c d e", "t") for i in range(2, 9)], df.schema))
+    expected = Counter()
+    for r in mixing.mix(more, "doc_id", "source", words(F.col("text"))).collect():
+        expected[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.mix_documents(more).collect()) == Counter({k: v for k, v in expected.items() if v}) and expected[1] != 10
 
 
 # -- WARC ----------------------------------------------------------------------------------------------------------------
