@@ -56,6 +56,7 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, keep: str = "min", ho
         (best("keep_id") if keep == "max" else F.when(F.max(F.col("keep_id").isNull()), F.lit(None)).otherwise(best("keep_id"))).alias("all_keep"),
         F.sum("group_size").alias("all_size"),
     )
+    reps = written(reps)  # so that its size is known: a few rows for many, which need not move then
     # rows with equal ids share a salt, so of all runs only one begins with the id that stays
     y = runs.where("hot").join(reps, ["h", "text_sha256", "n_bytes"], "left")
     hot_rows = y.select("doc_id", F.col("all_keep").alias("keep_id"), F.col("all_size").alias("group_size"), ((F.col("pos") == 1) & F.col("keep_id").eqNullSafe(F.col("all_keep"))).alias("kept"), "text_sha256", "row_hash")
