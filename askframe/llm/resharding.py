@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from askframe.llm.common import free_name, rank_within, written
+from askframe.llm.common import drop, free_name, rank_within, written
 
 PER_BUCKET = 512
 
@@ -120,7 +120,9 @@ def reshard(df: DataFrame, id_col: str, old: Column, size: Column, shards: int)
         ends = cuts.setdefault(o, [[], []])
         ends[0].append((ends[0][-1] if ends[0] else 0) + b)
         ends[1].append(s)
-    x = rank_within(written(base.join(per, ["old_shard", "size"]).drop(n)), key, [id_col], F.col(salts), rank)
+    joined = written(base.join(per, ["old_shard", "size"]).drop(n))
+    drop(base, per)
+    x = rank_within(joined, key, [id_col], F.col(salts), rank)
 
     @F.pandas_udf("int")
     def place(old_shard: pd.Series, middle: pd.Series) -> pd.Series:
@@ -129,6 +131,7 @@ def reshard(df: DataFrame, id_col: str, old: Column, size: Column, shards: int)
     # a row goes to the block that holds its middle byte
     x = x.withColumn("shard", place("old_shard", F.floor(F.col(before) + F.col(rank) * F.col("size") + F.col("size") / 2)))
     x = written(x.select(*keep, "size", "old_shard", "shard"))
+    drop(joined)
     counts = x.groupBy("shard").agg(F.count(F.lit(1)).alias(n))
     x = written(x.join(F.broadcast(counts), "shard").withColumn(salts, F.ceil(F.col(n) / PER_BUCKET)))  # at most `shards` rows
     return rank_within(x, "shard", [id_col], F.col(salts), "slot").select(*keep, "size", "old_shard", "shard", "slot")
