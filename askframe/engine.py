@@ -123,7 +123,7 @@ class Engine:
                 df = self.tables(name)
                 DataFrame.createOrReplaceTempView(df if df.sparkSession is self.session else _in(self.session, df), name)
                 self._views.add(name)
-        df = self.session.sql(checked.sql)
+        df = guard.check_analyzed(self.session.sql(checked.sql))
         return df if checked.limit is None else df.limit(checked.limit)
 
     def run_sql(self, sql: str) -> Result:

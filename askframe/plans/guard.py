@@ -1,6 +1,7 @@
 """The guard on foreign SQL: one read-only query over allowed tables, checked on Catalyst's own parse tree.
 
-Everything is an allowlist: a kind of plan that is not known here is refused.
+Everything is an allowlist: a kind of plan that is not known here is refused, and so is a function that is not a built-in one of the groups
+below. The analysed plan is checked again (:func:`check_analyzed`), so what one walk missed the other sees.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.errors import ParseException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 500
 #: Plan nodes that only read.
@@ -20,14 +21,19 @@ ALLOWED = frozenset(
     LateralJoin Deduplicate View GlobalLimitAndOffset UnresolvedOrdinal UnresolvedHint ResolvedInlineTable Unpivot
     """.split()
 )
-#: Functions that reach outside the tables or hold up the session (fixed values; other engines' names are refused too).
-DENIED = frozenset(
+#: Groups of Spark's built-in functions that only compute on values.
+GROUPS = frozenset(
     """
-    reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length read_files raise_error assert_true
-    pg_read_file pg_read_binary_file pg_ls_dir lo_import lo_export dblink dblink_exec pg_sleep pg_terminate_backend pg_cancel_backend load_file sleep benchmark
-    current_catalog version session_user
+    agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs
+    map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs window_funcs
     """.split()
 )
+#: Functions that are refused though their group is allowed: they fail on purpose, or make values of any size.
+DENIED = frozenset("raise_error assert_true sequence".split())
+#: Functions whose argument of this place must be a whole number up to MOST_CHARS: it says how long the value gets.
+SIZED, MOST_CHARS = {"repeat": 1, "space": 0, "lpad": 1, "rpad": 1, "array_repeat": 1}, 10_000
+#: Expressions of an analysed plan that reach outside the tables.
+OUTSIDE = frozenset("CallMethodViaReflection TryReflect InputFileName InputFileBlockStart InputFileBlockLength RaiseError ScalaUDF PythonUDF CurrentUser SparkVersion".split())
 
 
 class GuardError(ValueError):
@@ -48,6 +54,35 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+def _each(iterable) -> list:
+    out, it = [], iterable.iterator()
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+class _Walk:
+    """One statement's check."""
+
+    def __init__(self, spark: SparkSession, names: dict[str, str]):
+        jvm = spark._jvm
+        self.names, self.used = names, set()
+        self.registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+        self.identifier = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+
+    def group(self, name: str) -> str | None:
+        info = self.registry.lookupFunction(self.identifier(name))
+        return info.get().getGroup() if info.isDefined() else None
+
+    def function(self, name: str, arguments: list) -> None:
+        if name in DENIED or self.group(name) not in GROUPS:
+            raise GuardError(f"function {name} is not allowed")
+        if name in SIZED:
+            size = arguments[SIZED[name]] if len(arguments) > SIZED[name] else None
+            if size is None or size.getClass().getSimpleName() != "Literal" or not isinstance(size.value(), int) or size.value() > MOST_CHARS:
+                raise GuardError(f"function {name} needs a size of at most {MOST_CHARS}")
+
+
 def check(spark: SparkSession, sql: str, allowed: list[str], max_rows: int = MAX_ROWS) -> Checked:
     """Parse and check; raises GuardError. Names of tables are compared without case; CTEs may be used below their WITH."""
     text = sql.strip().rstrip(";").strip()
@@ -59,10 +94,38 @@ def check(spark: SparkSession, sql: str, allowed: list[str], max_rows: int = MAX
         raise GuardError(f"not one valid statement: {str(e).strip().splitlines()[0][:200]}") from e
     except Exception as e:  # the parser's errors come as Java exceptions too
         raise GuardError(f"not one valid statement: {str(e).strip().splitlines()[0][:200]}") from e
-    names = {t.lower(): t for t in allowed}
-    used: set[str] = set()
-    _walk(root, names, frozenset(), used)
-    return Checked(text, tuple(sorted(used)), None if _single_row(root) else max_rows)
+    walk = _Walk(spark, {t.lower(): t for t in allowed})
+    _walk(root, walk, frozenset())
+    return Checked(text, tuple(sorted(walk.used)), None if _single_row(root) else max_rows)
+
+
+def check_analyzed(df: DataFrame) -> DataFrame:
+    """``df``, if its analysed plan reads views only (those of the allowed tables) and holds no expression that reaches outside."""
+    _analyzed(df._jdf.queryExecution().analyzed())
+    return df
+
+
+def _analyzed(node) -> None:
+    kind = node.getClass().getSimpleName()
+    if kind == "View":  # made by the engine, not by the statement
+        return
+    for e in _items(node.expressions()):
+        _analyzed_expression(e)
+    below = _items(node.children())
+    if not below and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef", "ResolvedInlineTable"):
+        raise GuardError(f"{kind} is not allowed: only known tables")
+    for c in below:
+        _analyzed(c)
+
+
+def _analyzed_expression(e) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in OUTSIDE:
+        raise GuardError(f"{kind} is not allowed")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _analyzed(e.plan())
+    for c in _items(e.children()):
+        _analyzed_expression(c)
 
 
 def _single_row(root) -> bool:
@@ -84,38 +147,42 @@ def _aggregates(e) -> bool | None:
     return None if None in found else any(found)
 
 
-def _walk(node, names: dict[str, str], ctes: frozenset[str], used: set[str]) -> None:
+def _walk(node, walk: _Walk, ctes: frozenset[str]) -> None:
     kind = node.getClass().getSimpleName()
     if kind not in ALLOWED:
         raise GuardError(f"{kind} is not allowed: only queries that read")
     if kind == "UnresolvedWith":
         for pair in _items(node.cteRelations()):
-            _walk(pair._2(), names, ctes, used)
+            _walk(pair._2(), walk, ctes)
             ctes = ctes | {pair._1().lower()}
+    elif kind == "WithWindowDefinition":  # a map, which neither expressions() nor children() shows
+        for pair in _each(node.windowDefinitions()):
+            _expression(pair._2(), walk, ctes)
     elif kind == "UnresolvedRelation":
         path = _items(node.multipartIdentifier())
         if len(path) != 1:
             raise GuardError(f"table {'.'.join(path)} is not allowed")
         if path[0].lower() in ctes:
             return
-        if path[0].lower() not in names:
+        if path[0].lower() not in walk.names:
             raise GuardError(f"table {path[0]} is not known")
-        used.add(names[path[0].lower()])
+        walk.used.add(walk.names[path[0].lower()])
     for e in _items(node.expressions()):
-        _expression(e, names, ctes, used)
+        _expression(e, walk, ctes)
     for c in _items(node.children()):
-        _walk(c, names, ctes, used)
+        _walk(c, walk, ctes)
 
 
-def _expression(e, names: dict[str, str], ctes: frozenset[str], used: set[str]) -> None:
+def _expression(e, walk: _Walk, ctes: frozenset[str]) -> None:
     kind = e.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
         name = ".".join(_items(e.nameParts())).lower()
-        if name.rsplit(".", 1)[-1] in DENIED or "." in name:
-            raise GuardError(f"function {name} is not allowed")
+        walk.function(name, _items(e.arguments()))
+    elif kind == "UnresolvedGenerator":
+        walk.function(e.name().unquotedString().lower(), _items(e.children()))
     elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        _walk(e.plan(), names, ctes, used)
+        _walk(e.plan(), walk, ctes)
     elif re.search("Subquery", kind) and kind != "InSubquery":
         raise GuardError(f"{kind} is not allowed")
     for c in _items(e.children()):
-        _expression(c, names, ctes, used)
+        _expression(c, walk, ctes)

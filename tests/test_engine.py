@@ -109,6 +109,45 @@ def test_guard_refuses(spark, sql):
         guard.check(spark, sql, EMPLOYEES)
 
 
+#: Every place of a statement that holds an expression.
+PLACES = [
+    "SELECT {} AS x FROM Employee", "SELECT name FROM Employee WHERE {} IS NOT NULL", "SELECT e.name FROM Employee e JOIN Client c ON e.id = c.id AND {} = 'x'", "SELECT COUNT(*) AS n FROM Employee GROUP BY {}",
+    "SELECT name, COUNT(*) AS n FROM Employee GROUP BY name HAVING MAX({}) = 'x'", "SELECT name FROM Employee ORDER BY {}", "SELECT row_number() OVER (ORDER BY {}) AS x FROM Employee",
+    "SELECT row_number() OVER w AS x FROM Employee WINDOW w AS (ORDER BY {})", "SELECT count(*) OVER w AS x FROM Employee WINDOW w AS (PARTITION BY {})", "WITH x AS (SELECT {} AS a FROM Employee) SELECT a FROM x",
+    "SELECT name FROM Employee WHERE id IN (SELECT id FROM Client WHERE {} = 'x')", "SELECT (SELECT MAX({}) FROM Client) AS x FROM Employee", "SELECT name FROM Employee UNION SELECT {} FROM Client",
+    "SELECT * FROM VALUES ({}) AS t(a)", "SELECT x FROM Employee LATERAL VIEW explode(array({})) t AS x", "SELECT name, y FROM Employee, LATERAL (SELECT {} AS y)",
+    "SELECT * FROM (SELECT name, id FROM Employee) PIVOT (MAX({}) FOR id IN (1, 2))", "SELECT transform(array(name), v -> concat(v, {})) AS x FROM Employee", "SELECT CASE WHEN {} = 'x' THEN 1 ELSE 2 END AS x FROM Employee",
+    "SELECT COUNT(*) FILTER (WHERE {} = 'x') AS n FROM Employee", "SELECT name FROM Employee GROUP BY CUBE (name, {})",
+]
+OUTSIDE = [
+    "reflect('java.lang.System', 'getProperty', 'user.name')", "java_method('java.lang.System', 'getProperty', 'user.name')", "input_file_name()", "(SELECT MAX(text) FROM parquet.`/root/testdata/sf0.001/documents.parquet`)",
+    "(SELECT MAX(name) FROM Secret)", "current_user()", "version()", "repeat('x', 2000000000)", "some_udf(name)", "a.b(name)",
+]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_nothing_forbidden_passes_anywhere(spark, place):
+    assert guard.check(spark, place.format("upper('x')"), EMPLOYEES)  # the place itself is fine
+    for what in OUTSIDE:
+        with pytest.raises(guard.GuardError):
+            guard.check(spark, place.format(what), EMPLOYEES)
+
+
+def test_the_analysed_plan_is_checked_too(spark, shop, monkeypatch):
+    monkeypatch.setattr(guard, "check", lambda spark, sql, *a: guard.Checked(sql, ("products",), 5))
+    assert shop.sql("SELECT id FROM products WHERE id IN (SELECT MAX(id) FROM products)").count() == 1
+    for sql in ("SELECT count(*) OVER w AS n FROM products WINDOW w AS (PARTITION BY (SELECT max(doc_id) FROM parquet.`/root/testdata/sf0.001/documents.parquet`))", "SELECT row_number() OVER w AS n FROM products WINDOW w AS (ORDER BY reflect('java.lang.System', 'getProperty', 'user.name'))", "SELECT * FROM range(3)"):
+        with pytest.raises(guard.GuardError):
+            shop.sql(sql)
+
+
+def test_sized_functions_need_a_small_size(spark):
+    assert guard.check(spark, "SELECT lpad(name, 5, '0') AS x, repeat('a', 3) AS y FROM Employee", EMPLOYEES)
+    for sql in ("SELECT repeat('a', id) FROM Employee", "SELECT lpad(name, 2000000000, '0') FROM Employee", "SELECT space(99999) FROM Employee", "SELECT sequence(1, 2000000000) FROM Employee"):
+        with pytest.raises(guard.GuardError):
+            guard.check(spark, sql, EMPLOYEES)
+
+
 def test_limits(spark, shop):
     assert guard.check(spark, "SELECT COUNT(*) FROM Employee", EMPLOYEES).limit is None
     assert guard.check(spark, "SELECT COUNT(*) > 0 FROM Employee", EMPLOYEES).limit is None
