@@ -5,9 +5,10 @@ Two sets of word shingles with Jaccard similarity of at least t share one of the
 member stands bounds the similarity. Documents with identical prefix
 and size make one group; only groups are indexed and paired; pairs are expanded to members and verified on whole sets.
 
-Nothing emits all pairs of a group or of a common shingle. In the first round every group is paired with one pivot per
-shared shingle, and every member with its group's pivot. Links found so far make components. Pairs of one component need no look: the
-second round takes all pairs left that share a prefix shingle and lie in different components. So no link between components is lost.
+Pairs go in rounds, so that a group or a common shingle does not give all its pairs. In a round every group (later: member) is paired with one pivot
+per shared shingle: the one in which the shingle comes earliest, since copies have words of their own before those that they share, and
+their base has not. Links merge components, and pairs of one component need no look. When few pairs are left, or pivots no longer merge
+anything, all pairs left that share a prefix shingle (or a group) and lie in different components are verified. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ COUNTERS, BLOCKS = 1 << 22, 64
 PER_BLOCK, HOT_DOCS = 400_000, 100_000
 #: Rows up to which a side is broadcast (8 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: While there are more pairs to look at than this many for each posting, postings are paired with pivots only, to merge components first.
+PAIRS_A_ROW = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd
 
 
@@ -214,6 +217,42 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(``a``, ``b``) with a < b."""
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (written) with ``comp`` after ``links``; a component is named by its smallest class."""
+    of = label.select("cid", "comp")
+    edges = links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select("u", "v")
+    ends = components(edges, "u", "v")
+    return written(label.join(ends, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("component_id", "comp")).drop("id", "component_id"))
+
+
+def _open(wide: DataFrame, percent: int) -> DataFrame:
+    """Postings (written) of shingles that several components share, early enough to go with the smallest set there is under the shingle."""
+    wide = written(wide)
+    shared = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")).where("lo <> hi").select("h", "least")
+    early = 100 * F.col("size").cast("long") - (100 + percent) * F.col("pos").cast("long") >= percent * F.col("least").cast("long")
+    out = written(wide.join(shared, "h").where(early).drop("least"))
+    drop(wide)
+    return out
+
+
+def _left(wide: DataFrame) -> tuple[int, int]:
+    """Pairs of postings under one shingle that lie in different components, and postings of shingles that have such pairs."""
+    per = wide.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    open_ = per.where("c * c > own")
+    got = open_.agg(F.sum(((F.col("c") * F.col("c") - F.col("own")) / 2).cast("decimal(38,0)")), F.sum("c")).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+def _without(wide: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``wide`` without the postings (shingle, class) of ``pivots``."""
+    return wide.join(pivots.toDF("h", "cid"), ["h", "cid"], "left_anti")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: ``doc_id`` long, ``n_shingles`` long, ``component_id`` long.
 
@@ -241,6 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
     reps = pre.where("n > 0 AND doc_id IS NOT NULL").join(small(rest), "doc_id", "left_anti").select(F.col("doc_id").alias("gid"), "prefix")
     posts = written(shared_postings(reps, int(total), sketch))
     drop(rest, pre)
+    sketch.destroy()
 
     size = slim.where("cid = gid").select("gid", F.col("n").alias("size"))
     sized = written(posts.join(size, "gid"))
@@ -248,35 +288,51 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
 
     def may(x: str, y: str) -> Column:
         """Whether sets of these sizes can be similar if their first common member has these places."""
-        n, m, i, j = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.pos", f"{y}.pos"))
+        n, m, i, j = (F.col(c).cast("long") for c in (f"{x}.size", f"{y}.size", f"{x}.pos", f"{y}.pos"))
         return F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)
 
-    # first round: each posting with the first group of its shingle, each class with its group
-    pivots = sized.groupBy("h").agg(F.min(F.struct("gid", "size", "pos")).alias("p"))
-    x = sized.alias("x").join(pivots.select(F.col("h").alias("k"), "p"), F.col("h") == F.col("k")).where("gid <> p.gid").where(may("x", "p"))
-    first = x.select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
-    first = written(first.unionByName(slim.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct())
-    links = verified(first, docs, n, percent)
-    comp = written(components(links))
-    # second round: what shares a prefix shingle and is not known to be connected
-    label = written(slim.join(comp, slim.cid == comp.id, "left").select("cid", "gid", "n", F.coalesce("component_id", "cid").alias("comp")))
-    wide = sized.join(label.drop("n"), "gid")
-    # of a shingle's postings, those that are early enough to go with the smallest set there is under it
-    open_ = wide.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")).where("lo <> hi").select("h", "least")
-    early = 100 * F.col("size") - (100 + percent) * F.col("pos") >= percent * F.col("least")
-    wide = written(wide.join(open_, "h").where(early).drop("least"))
-    across = wide.alias("x").join(wide.alias("y"), F.col("x.h") == F.col("y.h")).where("x.cid < y.cid AND x.comp <> y.comp").where(may("x", "y"))
-    across = across.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    inside = label.alias("x").join(label.alias("y"), F.col("x.gid") == F.col("y.gid")).where("x.cid < y.cid AND x.comp <> y.comp").where("x.gid <> x.cid OR y.gid <> y.cid")
-    inside = inside.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    second = written(across.unionByName(inside).distinct().join(first, ["a", "b"], "left_anti"))
-    more = verified(second, docs, n, percent)
-    drop(sized, first, wide, second)
-    ends = comp if more.isEmpty() else components(links.unionByName(more))
+    # first round: each group with the pivot of each of its shingles, and with its own classes
+    pivots = written(sized.groupBy("h").agg(F.min(F.struct("pos", "gid", "size")).alias("p")))
+    x = sized.alias("x").join(pivots, "h").where("gid <> p.gid").where(may("x", "p"))
+    x = x.select("gid", F.col("p.gid").alias("pivot")).distinct().join(slim.select("cid", "gid"), "gid")
+    first = _pairs(x, "pivot", "cid").unionByName(_pairs(slim.where("cid <> gid"), "gid", "cid"))
+    tried = [written(first.distinct())]
+    label = _merged(slim.withColumn("comp", F.col("cid")), verified(tried[0], docs, n, percent))
+    # what shares a prefix shingle, or a group, and is not known to be connected; a pivot has met all others
+    several = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    inside = label.where("cid <> gid").join(several, "gid").select(F.xxhash64(F.lit("group"), "gid").alias("h"), "cid", F.lit(0).alias("pos"), F.col("n").alias("size"), "comp")
+    wide = sized.join(label.select("cid", "gid", "comp"), "gid").select("h", "cid", "pos", "size", "comp")
+    wide = _open(_without(wide, pivots.select("h", "p.gid")).unionByName(inside), percent)
+    drop(sized, pivots)
+    before = None
+    while True:
+        pairs, rows = _left(wide)
+        if not rows:
+            break
+        last = pairs <= PAIRS_A_ROW * rows or (before is not None and 10 * pairs > 9 * before)
+        before = pairs
+        if last:  # all pairs that are left
+            x = wide.alias("x").join(wide.alias("y"), F.col("x.h") == F.col("y.h")).where("x.cid < y.cid AND x.comp <> y.comp").where(may("x", "y"))
+            x = x.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        else:  # each posting with the next pivot of its shingle
+            pivots = written(wide.groupBy("h").agg(F.min(F.struct("pos", "cid", "size", "comp")).alias("p")))
+            x = _pairs(wide.alias("x").join(pivots, "h").where("comp <> p.comp").where(may("x", "p")), "p.cid", "cid")
+        x = x.distinct()
+        for t in tried:
+            x = x.join(t, ["a", "b"], "left_anti")
+        tried.append(written(x))
+        old, label = label, _merged(label, verified(tried[-1], docs, n, percent))
+        drop(old)
+        if last:
+            break
+        rest = _without(wide, pivots.select("h", "p.cid")).drop("comp").join(label.select("cid", "comp"), "cid")
+        old, wide = wide, _open(rest, percent)
+        drop(old, pivots)
+    drop(wide, *tried)
 
     # classes to documents
     base = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    of = label.select("cid").join(ends, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("component_id", "cid").alias("component_id"))
+    of = label.select("cid", F.col("comp").alias("component_id"))
     mine = of.select(F.col("cid").alias("doc_id"), "component_id").where("doc_id <> component_id")
     theirs = members.join(of, "cid").select("doc_id", "component_id")
     found = mine.unionByName(theirs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
