@@ -16,12 +16,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askframe.llm.common import drop, written
+
 #: Hashed terms, factors of each; the model has BUCKETS * (FACTORS + 1) numbers, whatever the corpus.
 BUCKETS, FACTORS = 1 << 18, 6
 #: The classifier is fitted on at most this many labelled rows (those first by a hash of their id).
 TRAIN_ROWS = 24_000
 #: Terms with fewer training documents, or less tied to the label than this z-score, stay 0.
 LEAST_DOCS, LEAST_Z = 3, 2.0
+#: Terms that may differ from 0.
+MOST_TERMS = 1 << 16
 EPOCHS, RATE, SHRINK = 6, 0.3, 1e-5
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -120,25 +124,48 @@ class FactorizationMachine:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether a row's label is kept from learning."""
+    """Whether a row's label is kept from learning; null for a null id, whose label teaches nothing either."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Learn from at most ``rows`` labelled rows that are not held out; rows with a null id or label, or a label but 0 and 1, are passed over.
+    """Learn from at most ``rows`` labelled ids that are not held out; rows with a null id or label, or a label but 0 and 1, are passed over.
 
-    The driver gets these rows' hashed terms: ``rows`` is their bound.
+    Of documents that repeat an id, one teaches for each of its labels. The labelled documents' terms are written to the shared folder and
+    counted there; the driver gets the ``MOST_TERMS`` terms most tied to the label, and of each document those only.
     """
+    spark = docs.sparkSession
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    y = y.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id").select("text", "y")  # at most `rows` ids
+    y = y.where(~held_out(F.col("id"))).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(rows)
+    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id").select("id", "text", "y")  # at most `rows` ids
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([hashed_terms(t.as_py() or "").tobytes() for t in b.column(0)], pa.binary()), b.column(1)], ["terms", "y"])
+            found = [hashed_terms(t.as_py() or "") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "terms"])
+
+    found = x.mapInArrow(terms, f"id {x.dtypes[0][1]}, y int, terms array<int>")
+    taught = written(found.groupBy("id", "y").agg(F.max("terms").alias("terms")).drop("id"))
+    n, pos = taught.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if pos in (0, n):
+        return FactorizationMachine.fit([np.zeros(0, np.int32)] * min(n, 1), np.array([1] * min(pos, 1) or [0] * min(n, 1)))
+    rate = pos / n
+    z = F.abs(F.col("d1") - F.col("d") * rate) / F.sqrt(F.col("d") * rate * (1 - rate))
+    per = taught.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"), F.sum("y").alias("d1")).where(F.col("d") >= LEAST_DOCS)
+    tied = per.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).select("term").toArrow()
+    used = np.zeros(BUCKETS, dtype=bool)
+    used[tied.column(0).to_numpy()] = True
+    mask = spark.sparkContext.broadcast(used)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.asarray(t.values, dtype=np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([t[mask.value[t]].tobytes() for t in own], pa.binary()), b.column(0)], ["terms", "y"])
 
-    got = sorted(x.mapInArrow(terms, "terms binary, y int").collect())
-    return FactorizationMachine.fit([np.frombuffer(r[0], dtype=np.int32) for r in got], np.array([r[1] for r in got]))
+    got = sorted(zip(*(c.to_pylist() for c in taught.select("y", "terms").mapInArrow(tell, "terms binary, y int").toArrow().columns)))
+    mask.destroy()
+    drop(taught)
+    return FactorizationMachine.fit([np.frombuffer(t, dtype=np.int32) for t, _ in got], np.array([y for _, y in got]))
 
 
 def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -146,17 +173,19 @@ def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", na
 
     A null text is scored as an empty one. Only the text is read for it.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))  # fixed size
+    used = np.flatnonzero((model.w != 0) | (model.v != 0).any(axis=1))  # at most MOST_TERMS after :func:`fit`
+    shared = df.sparkSession.sparkContext.broadcast((model.w0, used, model.w[used], model.v[used]))
     keep = [c for c in df.columns if c.lower() != name.lower()]
     place = keep.index(next(c for c in keep if c.lower() == text_col.lower()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = FactorizationMachine(*shared.value)
-        used = (m.w != 0) | (m.v != 0).any(axis=1)
+        w0, used, w, v = shared.value
+        m, at = FactorizationMachine(w0, w, v), np.full(BUCKETS, -1, dtype=np.int64)
+        at[used] = np.arange(len(used))
         for b in batches:
-            docs = [d[used[d]] for d in (hashed_terms(t.as_py() or "") for t in b.column(place))]
+            docs = [d[d >= 0] for d in (at[hashed_terms(t.as_py() or "")] for t in b.column(place))]
             begins = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(np.concatenate([*docs, np.zeros(0, np.int32)]), begins))], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(np.concatenate([*docs, np.zeros(0, np.int64)]), begins))], [*keep, name])
 
     x = df.select(*keep)
     return x.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in x.dtypes) + f", `{name}` double")
