@@ -1,9 +1,10 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source every document has the same expected number of copies. The prefix sum of
-expected copies, plus one random offset, crosses integers; a document is emitted once for each
+expected copies, plus one offset for the source, crosses integers; a document is emitted once for each
 integer that its part of the sum crosses. Documents are lined up by size, so every stretch of sizes is
-drawn at the same rate and a source's words come out within about one document of its target.
+drawn at the same rate. Of ``OFFSETS`` evenly spread offsets the one is drawn whose words come nearest to the source's target (of equals, one by
+the seed): how many words each offset takes follows from two events per document, added up.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from askframe.llm.common import drop, free_name, rank_within, words, written
 
 #: Rows of one (source, size) numbered by one window.
 PER_BUCKET = 512
+#: Offsets that a source's one is drawn from.
+OFFSETS = 1021
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -23,24 +26,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
     Sources in code-point order, null last, get ``weights`` in turn and share
     ``share`` times all sizes by weight. A target stops at ``most`` times the source's size; what is over goes to the
-    others by weight until none is above. That has a closed form: sources fill up in the order of
-    cap / weight, so two running sums over the sources find the level at which the rest stand. If
-    all sources fill up, each stays at its cap.
+    others by weight until none is above. If all sources fill up, each stays at its cap. Sources may be many: they are sorted in ranges, and each round of sharing is
+    one sum over them.
     """
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    x = own.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    x = x.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    after = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = x.withColumn("total", F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    # a source is full when the level at its turn is at least its cap; all after the first that is not full stand at that one's level
-    x = x.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
-    at = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("at", at)
-    return x.select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.col("at") * F.col("w")).alias("target"))
+    x = written(own.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    # rows before each range, a number per range
+    starts, before = [], 0
+    for p, n in sorted(tuple(r) for r in x.groupBy(part).count().collect()):
+        starts += [F.lit(p), F.lit(before % len(weights))]
+        before += n
+    turn = ((F.element_at(F.create_map(*starts), part) if starts else F.lit(0)) + place) % len(weights)
+    x = x.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    total = float(share) * float(x.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, full, open_ = -1.0, 0.0, x.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    while open_ and (total - full) / open_ > level:
+        level = (total - full) / open_
+        over = F.col("cap") <= F.lit(level) * F.col("w")
+        full, open_ = x.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+    return x.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
@@ -51,7 +56,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
     id are separate rows. Reruns give the same counts for the same rows. An empty table gives an empty result.
     Columns of ``df`` with these four names are replaced.
     """
-    src, key, rank, before, n, at = free_name(df, "src_key", "mix_key", "mix_rank", "mix_before", "mix_n", "mix_salts")
+    src, key, rank, before, n, at, offset = free_name(df, "src_key", "mix_key", "mix_rank", "mix_before", "mix_n", "mix_salts", "mix_offset")
     base = df.drop("size", "source_size", "target", "copies").withColumn("size", size)
     # never null, and one to one with the source
     base = written(base.withColumn(src, F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))))
@@ -62,16 +67,36 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
     per = per.withColumn(before, F.sum(n).over(Window.partitionBy(src).orderBy("size")) - F.col(n))
     per = per.withColumn(at, F.ceil(F.col(n) / PER_BUCKET)).withColumn(key, F.concat(F.col("size").cast("string"), F.lit("/"), F.col(src)))
     per = written(per.join(goal, src).drop(n))
-    x = written(base.join(per, [src, "size"]))
+    joined = written(base.join(per, [src, "size"]))
     drop(base, per)
-    x = rank_within(x, key, [id_col], F.col(at), rank)
+    x = rank_within(joined, key, [id_col], F.col(at), rank)
+    x = written(x)
+    drop(joined)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # one offset in [0, 1) for each source, from the seed
-    offset = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 20)) / float(1 << 20)
     place = F.col(before) + F.col(rank)
-    crossed = F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)
+    drawn = _offsets(x, src, rate, place * rate, seed, offset)
+    at = (F.coalesce(F.col(offset), F.lit(0)) + 0.5) / OFFSETS
+    crossed = F.floor((place + 1) * rate + at) - F.floor(place * rate + at)
     keep = [c for c in df.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    return x.withColumn("copies", crossed.cast("long")).select(*keep, "size", "source_size", "target", "copies")
+    return x.join(drawn, src, "left").withColumn("copies", crossed.cast("long")).select(*keep, "size", "source_size", "target", "copies")
+
+
+def _offsets(x: DataFrame, src: str, rate: Column, start: Column, seed: int, name: str) -> DataFrame:
+    """The offset (0 to ``OFFSETS`` - 1) drawn for each source.
+
+    A row is taken one time more than its rate's floor by the offsets of one interval (cyclic, as long as the rate's fraction): its words
+    come in at one offset and go out at another. Sums of these events give the words that each offset takes.
+    """
+    part = rate - F.floor(rate)
+    first = F.pmod(1 - part - (start - F.floor(start)), F.lit(1.0))
+    a, e = (F.ceil(c * OFFSETS - 0.5).cast("long") for c in (first, first + part))
+    event = lambda j, words_: F.struct((j % OFFSETS).alias("j"), words_.alias("w"))
+    around = F.floor(e / OFFSETS) - F.floor(a / OFFSETS)
+    events = F.array(event(F.lit(0).cast("long"), F.col("size") * around), event(a, F.col("size")), event(e, -F.col("size")))
+    sums = x.where((F.col("size") > 0) & (part > 0)).select(src, "source_size", "target", F.explode(events).alias("e")).groupBy(src, "source_size", "target", "e.j").agg(F.sum("e.w").alias("w"))
+    taken = F.col("source_size") * F.floor(F.col("target") / F.col("source_size")) + F.sum("w").over(Window.partitionBy(src).orderBy("j"))  # at most OFFSETS rows a source
+    best = sums.withColumn("err", F.abs(taken - F.col("target"))).groupBy(src).agg(F.min(F.struct("err", F.xxhash64(F.lit(seed), src, "j"), F.col("j").alias("j"))).alias("best"))
+    return written(best.select(src, F.col("best.j").alias(name)))
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
