@@ -30,6 +30,10 @@ ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 4096
 TRAINING_RECORDS, TRAINING_BYTES, DICTIONARY_BYTES = 64, 8192, 16 << 10
 
 
+#: Bytes of an archive that a frame is fed at first, and at most, at a time.
+FIRST_STEP, LAST_STEP = 4096, 1 << 20
+
+
 def digest(payload: bytes) -> str:
     """Base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -66,9 +70,10 @@ def archive(records: list[bytes]) -> bytes:
 
 
 def read_archive(data: bytes, name: str = "archive") -> Iterator[dict]:
-    """The records of an archive, each validated: headers, lengths, digest. A fault raises ValueError with the place.
+    """The records of an archive, each validated in what it says: headers, lengths, digests. A fault raises ValueError with the place.
 
-    Yields ``type``, ``record_id``, ``url``, ``date``, ``payload`` (None for a revisit), ``payload_bytes``, ``payload_digest``, ``refers_to``.
+    An HTTP length and a payload digest are optional, names of headers have no case, a chunked body comes without its chunks' lengths, and
+    records but responses and revisits over HTTP have no payload. Time is in proportion to the bytes. Yields ``type``, ``record_id``, ``url``, ``date``, ``payload`` (None for a revisit), ``payload_bytes``, ``payload_digest``, ``refers_to``.
     """
 
     def fault(what: str) -> ValueError:
@@ -86,28 +91,69 @@ def read_archive(data: bytes, name: str = "archive") -> Iterator[dict]:
         words, at = zstandard.ZstdCompressionDict(raw), 8 + size
     unpacker = zstandard.ZstdDecompressor(dict_data=words)
     while at < len(data):
-        one = unpacker.decompressobj()
+        # the frame's end shows while it is fed, so no frame sees more than a step of what follows it
+        one, whole, end, step = unpacker.decompressobj(), [], at, FIRST_STEP
         try:
-            whole = one.decompress(view[at:])
+            while not one.eof and end < len(data):
+                whole.append(one.decompress(view[end : end + step]))
+                end = min(end + step, len(data))
+                step = min(2 * step, LAST_STEP)
         except zstandard.ZstdError as e:
             raise fault(f"not a frame: {e}") from e
         if not one.eof:
             raise fault("the frame is cut off")
-        yield _parse(whole, fault)
-        at = len(data) - len(one.unused_data)
+        yield _parse(b"".join(whole), fault)
+        at = end - len(one.unused_data)
+
+
+def _headers(lines: list[bytes], fault) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank continues the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        key, colon, value = line.partition(b":")
+        if not colon or not key.strip():
+            raise fault(f"not a header: {line[:40]!r}")
+        name = key.strip().lower().decode("utf-8", "replace")
+        out[name] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def _unchunked(payload: bytes) -> bytes | None:
+    """The content of a chunked body; None if it is not one."""
+    out, at = [], 0
+    while True:
+        line = payload.find(b"\r\n", at)
+        try:
+            n = int(payload[at:line].split(b";")[0], 16) if line >= 0 else -1
+        except ValueError:
+            return None
+        if n < 0 or line + 2 + n > len(payload):
+            return None
+        if n == 0:
+            return b"".join(out)
+        out.append(payload[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+
+
+def _matches(named: str, payload: bytes) -> bool:
+    """Whether a labelled digest is the payload's, in base32 or hex; labels of unknown algorithms are not checked."""
+    label, _, value = named.partition(":")
+    if label.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return True
+    raw = hashlib.new(label.lower().replace("-", ""), payload).digest()
+    return value.rstrip("=").upper() == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex()
 
 
 def _parse(whole: bytes, fault) -> dict:
     head, gap, rest = whole.partition(b"\r\n\r\n")
-    first, *fields = head.decode("utf-8").split("\r\n")
-    if not gap or first not in ("WARC/1.0", "WARC/1.1"):
+    first, *fields = head.split(b"\r\n")
+    if not gap or first not in (b"WARC/1.0", b"WARC/1.1"):
         raise fault(f"not a WARC record: {first[:40]!r}")
-    h = {}
-    for line in fields:
-        key, colon, value = line.partition(":")
-        if not colon:
-            raise fault(f"not a header: {line[:40]!r}")
-        h[key.strip().lower()] = value.strip()
+    h = _headers(fields, fault)
     for key in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if key not in h:
             raise fault(f"no {key}")
@@ -116,22 +162,30 @@ def _parse(whole: bytes, fault) -> dict:
         raise fault(f"the block is not {size} bytes")
     block = rest[: int(size)]
     out = {"type": h["warc-type"], "record_id": h["warc-record-id"], "url": h.get("warc-target-uri"), "date": h["warc-date"], "refers_to": h.get("warc-refers-to"), "payload": None, "payload_bytes": None, "payload_digest": None}
-    if out["type"] in ("response", "revisit"):
+    named = h.get("warc-payload-digest")
+    if out["type"] in ("response", "revisit") and h.get("content-type", "application/http").lower().startswith("application/http"):
         http, gap, payload = block.partition(b"\r\n\r\n")
         if not gap or not http.startswith(b"HTTP/"):
             raise fault("no HTTP header")
-        fields = dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])
-        n = int(fields.get(b"Content-Length", b"-1"))
-        named = h.get("warc-payload-digest", "").removeprefix("sha1:")
+        fields = _headers(http.split(b"\r\n")[1:], fault)
+        said = fields.get("content-length")
+        if said is not None and not said.isdigit():
+            raise fault(f"not a length: {said[:40]!r}")
+        chunked = "chunked" in fields.get("transfer-encoding", "").lower()
         if out["type"] == "response":
-            if n != len(payload):
-                raise fault(f"the payload has {len(payload)} bytes, not {n}")
-            if named != digest(payload):
+            if said is not None and not chunked and int(said) != len(payload):
+                raise fault(f"the payload has {len(payload)} bytes, not {said}")
+            content = _unchunked(payload) if chunked else None
+            if named and not _matches(named, payload) and not (content is not None and _matches(named, content)):
                 raise fault("the payload does not match its digest")
-            out["payload"] = payload
-        elif payload or not out["refers_to"]:
+            out["payload"] = payload if content is None else content
+            out["payload_bytes"] = len(out["payload"])
+            named = named or "sha1:" + digest(out["payload"])
+        elif payload or not (out["refers_to"] or h.get("warc-refers-to-target-uri")):
             raise fault("a revisit has no payload and names its record")
-        out |= {"payload_bytes": n, "payload_digest": named}
+        else:
+            out["payload_bytes"] = int(said) if said is not None else None
+        out["payload_digest"] = named.removeprefix("sha1:") if named else None
     return out
 
 
