@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import chat_format, embedding_dedup, exact_dedup, mixing, ngram_join, packing, resharding, token_counts, toxicity, warc
-from askframe.llm.common import LOWER, UPPER, ship, words
+from askframe.llm.common import LOWER, UPPER, shared_dir, ship, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,17 +95,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, laid out by a hash of their text so that equal texts lie together, moved into 40 shards of equal bytes."""
+    """Documents, laid out by a hash of their text so that equal texts lie together, moved into 40 shards of equal bytes, and read back from these."""
     shards = 40
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("n_bytes"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("home"),
-    )
-    x = resharding.reshard(docs, "doc_id", F.col("home"), F.col("n_bytes"), shards)
-    return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    n_bytes = (F.octet_length(text) + 16).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    moved = resharding.reshard(docs, "doc_id", F.pmod(F.xxhash64(text), F.lit(shards)).cast("int"), n_bytes, shards, group=text)
+    # the given table is no layout of shards, so all of them are new
+    layout = resharding.write_shards(moved, f"{shared_dir(spark)}/askframe/shards-{uuid.uuid4().hex}")
+    back = resharding.read_shards(moved, layout)
+    return back.select("doc_id", n_bytes.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 QUERIES = (
