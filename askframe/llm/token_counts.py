@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: How a token that crosses a boundary is counted: with the section of its first byte, of its last byte, or of most of its bytes (the first of equals).
 RULES = ("first", "last", "most")
 FIRST_END = re.compile(r"[.!?][ \t]+|\n")
+#: White space as the tokenizer's pattern knows it; a run as long as this would be too much for its matcher.
+LONG_RUN = 50_000
+BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 Sections = Callable[[str], list[tuple[str, int, int]]]
 
 
@@ -38,6 +41,19 @@ def byte_encoder(path: str) -> tuple[object, np.ndarray]:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(encoder: object, text: str) -> np.ndarray:
+    """The ids of a whole text. A long run of white space is one piece to the tokenizer's pattern, but for its last character if something follows: it
+    goes to the merges as such, and the texts on either side are encoded as they are."""
+    if len(text) < LONG_RUN or not (runs := list(BLANKS.finditer(text))):
+        return encoder.encode_to_numpy(text, disallowed_special=())
+    out, at = [], 0
+    for run in runs:
+        end = run.end() - (run.end() < len(text))
+        out += [encode(encoder, text[at : run.start()]), np.array(encoder._core_bpe.encode_single_piece(text[run.start() : end].encode()), dtype=np.uint32)]
+        at = end
+    return np.concatenate([*out, encoder.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def parts(text: str) -> list[tuple[str, int, int]]:
     """The sections of a text by default: ``head`` (first sentence), ``body``, ``tail`` (last line, if it is not the head).
 
@@ -75,7 +91,7 @@ def section_tokens(df: DataFrame, id_col: str, text_col: str, path: str, rule: s
     ``sections`` gives ordered, adjacent (kind, start, end) that cover a text. ``n_tokens`` counts the section's tokens
     by ``rule``; ``n_crossing`` those of the document's tokens that begin before the section and end in it. A null or
     empty text has one section ``empty`` without tokens. Texts are encoded whole; strings of special tokens are
-    ordinary text. Repeated rows are counted again; other columns are not read; an empty table gives an empty result.
+    ordinary text. Repeated rows are counted again, a null id stays null; other columns are not read; an empty table gives an empty result.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -92,7 +108,7 @@ def section_tokens(df: DataFrame, id_col: str, text_col: str, path: str, rule: s
                     for c, v in zip(columns, (0, "empty", 0, 0, 0, 0, 0)):
                         c.append(v)
                     continue
-                ids = encoder.encode_to_numpy(text, disallowed_special=())
+                ids = encode(encoder, text)
                 ends = np.cumsum(sizes[ids])
                 starts = ends - sizes[ids]
                 found = sections(text)
