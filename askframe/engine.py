@@ -26,16 +26,19 @@ from askframe.sources.registry import Database, Registry, safe_name
 
 
 class Frames:
-    """Tables by name, read on first use: a folder of Parquet tables, overlaid by given DataFrames."""
+    """Tables by name, read on first use: a folder of Parquet tables or a database by its JDBC URL (with Spark's options), overlaid by given DataFrames."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, given: dict[str, DataFrame] | None = None):
-        self.spark, self.path, self.given = spark, path, {k.lower(): v for k, v in (given or {}).items()}
+    def __init__(self, spark: SparkSession, path: str | None = None, given: dict[str, DataFrame] | None = None, **options: str):
+        self.spark, self.path, self.options, self.given = spark, path, options, {k.lower(): v for k, v in (given or {}).items()}
 
     def __call__(self, name: str) -> DataFrame:
         if name.lower() not in self.given:
             if self.path is None:
                 raise KeyError(name)
-            self.given[name.lower()] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            if self.path.startswith("jdbc:"):
+                self.given[name.lower()] = introspect.jdbc_table(self.spark, self.path, name, **self.options)
+            else:
+                self.given[name.lower()] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self.given[name.lower()]
 
 
@@ -49,6 +52,7 @@ class Engine:
         self.registry = Registry(str(self.home / "databases.json")) if self.home else None
         self.model_path = str(self.home / "intent.json") if self.home else None
         self.model = IntentModel.load(self.model_path) if self.model_path else None
+        self._passwords: dict[str, str] = {}  # of this process only; the registry holds none
         self.use(catalog, tables)
 
     @classmethod
@@ -80,7 +84,11 @@ class Engine:
             raise ValueError("a question has 2 to 2000 characters")
         out: dict = {"question": question, "sql": "", "columns": [], "rows": [], "row_count": 0, "elapsed_ms": 0, "truncated": False, "error": None, "alternatives": [], "model": "trained" if self.model else "rules"}
         began = time.perf_counter()
-        plans = alternatives(question, self.index, self.model, max_rows=self.max_rows, now=now)
+        try:
+            plans = alternatives(question, self.index, self.model, max_rows=self.max_rows, now=now)
+        except Exception as e:  # the caller gets an answer that says so
+            self._record(execute, question, "gen_error", error=str(e)[:500])
+            return out | {"error": f"planning_failed: {(str(e).splitlines() or [type(e).__name__])[0][:300]}"}
         best = plans[0]
         out |= {"explanation": best.explanation, "confidence": best.confidence, "intent": best.intent, "tables_used": best.tables_used, "used_columns": best.used_columns, "planning_ms": round((time.perf_counter() - began) * 1000, 2)}
         if best.spec is None:
@@ -127,37 +135,70 @@ class Engine:
         return df if checked.limit is None else df.limit(checked.limit)
 
     def run_sql(self, sql: str) -> Result:
-        return run(self.sql(sql), self.max_rows, self.timeout_ms)
+        """Rows of foreign SQL. Refusals, failures and successes are recorded."""
+        try:
+            df = self.sql(sql)
+        except Exception as e:
+            self._record(True, sql, "invalid_sql", sql=sql, error=str(e)[:500])
+            raise
+        try:
+            r = run(df, self.max_rows, self.timeout_ms)
+        except Exception as e:
+            self._record(True, sql, "exec_error", sql=sql, error=str(e)[:500])
+            raise
+        self._record(True, sql, "ok", sql=sql, row_count=r.row_count, elapsed_ms=r.elapsed_ms)
+        return r
 
     # -- databases, history, learning ----------------------------------------------------------------------------------
 
-    def register(self, name: str, path: str) -> Database:
-        """Probe a folder of Parquet tables, introspect, annotate, keep its catalog, and switch to it."""
+    def register(self, name: str, path: str | None = None, *, dialect: str = "", host: str = "", port: int | None = None, dbname: str = "", username: str = "", password: str = "") -> Database:
+        """Probe a folder of Parquet tables or a database (by JDBC URL, or by dialect, host and name), introspect, annotate, keep its catalog, and switch to it.
+
+        The password stays in this process: after a restart, :meth:`activate` needs it again.
+        """
         name = safe_name(name)
         if self.registry.get(name):
             raise ValueError(f"database {name!r} exists")
-        names = introspect.parquet_tables(self.spark, path)
-        if not names:
+        path = path or introspect.jdbc_url(dialect or "postgres", host, port, dbname)
+        db = Database(name, path, dialect=introspect.dialect_of(path) if path.startswith("jdbc:") else "spark", username=username)
+        if password:
+            self._passwords[name] = password
+        if db.dialect == "spark" and not introspect.parquet_tables(self.spark, path):
             raise ValueError(f"no Parquet tables in {path}")
-        catalog = notes.annotate(introspect.from_parquet(self.spark, path, name))
+        catalog = self._introspected(db)
+        if not catalog.tables:
+            raise ValueError(f"no tables in {path}")
         file = self.home / "schemas" / f"{name}.yml"
         file.parent.mkdir(parents=True, exist_ok=True)
-        db = self.registry.insert(Database(name, path, str(file), table_count=save(catalog, file)))
+        db.schema_file, db.table_count = str(file), save(catalog, file)
+        db = self.registry.insert(db)
         self.activate(name)
         return db
 
-    def activate(self, name: str) -> None:
+    def _options(self, db: Database) -> dict[str, str]:
+        out = {"user": db.username} if db.username else {}
+        return out | ({"password": self._passwords[db.name]} if db.name in self._passwords else {})
+
+    def _introspected(self, db: Database) -> Catalog:
+        if db.dialect == "spark":
+            return notes.annotate(introspect.from_parquet(self.spark, db.path, db.name))
+        return notes.annotate(introspect.from_jdbc(self.spark, db.path, database=db.name, **self._options(db)))
+
+    def activate(self, name: str, password: str = "") -> None:
         db = self.registry.get(name)
         if db is None or not self.registry.activate(name):
             raise KeyError(name)
-        self.use(load(db.schema_file), Frames(self.spark, db.path))
+        if password:
+            self._passwords[name] = password
+        self.use(load(db.schema_file), Frames(self.spark, db.path, **self._options(db)))
+        self.dialect = db.dialect
 
     def regenerate(self, name: str) -> int:
         """Introspect and annotate again; returns the number of tables."""
         db = self.registry.get(name)
         if db is None:
             raise KeyError(name)
-        n = save(notes.annotate(introspect.from_parquet(self.spark, db.path, name)), db.schema_file)
+        n = save(self._introspected(db), db.schema_file)
         self.registry.set_table_count(name, n)
         if db.is_active:
             self.activate(name)

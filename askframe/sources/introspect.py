@@ -58,10 +58,31 @@ def from_spark(spark: SparkSession, database: str) -> Catalog:
     return junctions(infer_keys(Catalog(database, "", [from_struct(n, spark.table(f"`{database}`.`{n}`").schema) for n in names])))
 
 
-def from_jdbc(spark: SparkSession, url: str, schema: str = "public", **options: str) -> Catalog:
+#: Subprotocol and port of each dialect's JDBC URL (fixed values).
+JDBC = {"postgres": ("postgresql", 5432), "mysql": ("mysql", 3306)}
+
+
+def jdbc_url(dialect: str, host: str, port: int | None, dbname: str) -> str:
+    """The JDBC URL of a database."""
+    if dialect not in JDBC:
+        raise ValueError(f"dialect must be one of {sorted(JDBC)}")
+    if not re.fullmatch(r"[A-Za-z0-9._:\[\]-]+", host) or not re.fullmatch(r"[A-Za-z0-9_.$-]+", dbname):
+        raise ValueError("not a host and a database name")
+    name, usual = JDBC[dialect]
+    return f"jdbc:{name}://{host}:{int(port or usual)}/{dbname}"
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table's rows. Spark prunes columns and pushes filters and limits to the database; ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+    ``numPartitions`` among the options make the scan parallel. Needs the driver's jar on Spark's class path."""
+    quote = "`" if dialect_of(url) == "mysql" else '"'
+    return spark.read.format("jdbc").options(url=url, dbtable=quote + name.replace(quote, quote * 2) + quote, **options).load()
+
+
+def from_jdbc(spark: SparkSession, url: str, schema: str = "public", database: str = "", **options: str) -> Catalog:
     """Columns, primary and foreign keys from a database's information_schema. Needs the driver's jar on Spark's class path."""
     dialect = dialect_of(url)
-    where = "table_schema = DATABASE()" if dialect == "mysql" else f"table_schema = '{schema}'"
+    where = "table_schema = DATABASE()" if dialect == "mysql" else "table_schema = '" + schema.replace("'", "''") + "'"
     read = lambda q: spark.read.format("jdbc").options(url=url, query=q, **options).load()
     native = "column_type" if dialect == "mysql" else "data_type"
     columns = read(f"SELECT table_name, column_name, {native} AS data_type, ordinal_position FROM information_schema.columns WHERE {where}")
@@ -73,7 +94,7 @@ def from_jdbc(spark: SparkSession, url: str, schema: str = "public", **options:
         one = "SELECT k.table_name, k.column_name{more} FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k " + on
         pk = read(one.format(more="") + f" WHERE c.constraint_type = 'PRIMARY KEY' AND k.{where}")
         fk = read(one.format(more=", u.table_name AS rt, u.column_name AS rc") + f" JOIN information_schema.constraint_column_usage u {on} WHERE c.constraint_type = 'FOREIGN KEY' AND k.{where}")
-    return from_information_schema(columns, pk, fk, dialect)
+    return from_information_schema(columns, pk, fk, dialect, database)
 
 
 def from_information_schema(columns: DataFrame, pk: DataFrame, fk: DataFrame, dialect: str, database: str = "") -> Catalog:

@@ -15,6 +15,7 @@ class Database:
     path: str
     schema_file: str = ""
     dialect: str = "spark"
+    username: str = ""
     table_count: int = 0
     is_active: bool = False
     created_at: str = ""

@@ -282,6 +282,68 @@ def test_register_ask_train(spark, tmp_path):
     assert e.unregister("tpc_h") and not e.unregister("tpc_h")
 
 
+class Jdbc:
+    """Stands in for Spark's JDBC reader: tables and information_schema from frames."""
+
+    def __init__(self, spark, tables):
+        self.spark, self.tables, self.asked = spark, tables, []
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.asked.append(options)
+        return self
+
+    def load(self):
+        o = self.asked[-1]
+        if "dbtable" in o:
+            return self.tables[o["dbtable"].strip('"`')]
+        if "information_schema.columns" in o["query"]:
+            rows = [(t, f.name, {"int": "integer", "double": "numeric"}.get(f.dataType.simpleString(), "text"), i) for t, df in self.tables.items() for i, f in enumerate(df.schema.fields)]
+            return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal_position int")
+        keys = [("products", "category_id", "x", "categories", "id")] if "FOREIGN" in o["query"] else [("products", "id", "PRIMARY", None, None), ("categories", "id", "PRIMARY", None, None)]
+        return self.spark.createDataFrame(keys, "table_name string, column_name string, constraint_name string, rt string, rc string")
+
+
+def test_databases_over_jdbc(spark, tmp_path, monkeypatch):
+    tables = {k: v for k, v in frames(spark, SHOP_ROWS).items() if k != "orphan"}
+    jdbc = Jdbc(spark, tables)
+    parquet = type(spark).read.fget(spark)
+    jdbc.schema, jdbc.json = parquet.schema, parquet.json  # the history's reader
+    monkeypatch.setattr(type(spark), "read", property(lambda s: jdbc))
+    e = Engine(spark, FLEET, Frames(spark), home=str(tmp_path))
+    db = e.register("shop", dialect="postgres", host="db.example", dbname="shop", username="u", password="secret")
+    assert (db.path, db.dialect, db.table_count) == ("jdbc:postgresql://db.example:5432/shop", "postgres", 2)
+    assert e.ask("sum of price of products")["rows"] == [[21.5]] and e.ask("list all products under the Pizza category")["row_count"] == 3
+    assert jdbc.asked[-1] == {"url": db.path, "dbtable": '"categories"', "user": "u", "password": "secret"}
+    assert "secret" not in "".join(f.read_text() for f in tmp_path.rglob("*") if f.is_file())
+    assert e.regenerate("shop") == 2 and e.catalog.table("products").column("category_id").fk == "categories.id"
+    with pytest.raises(ValueError):
+        e.register("other", dialect="oracle", host="h", dbname="d")
+    with pytest.raises(ValueError):
+        e.register("other", dialect="mysql", host="h/x?y", dbname="d")
+    assert introspect.jdbc_url("mysql", "h", None, "d") == "jdbc:mysql://h:3306/d"
+    introspect.from_jdbc(spark, "jdbc:postgresql://h/d", schema="it's")
+    assert "'it''s'" in jdbc.asked[-1]["query"]
+    introspect.jdbc_table(spark, "jdbc:mysql://h/d", "products")
+    assert jdbc.asked[-1]["dbtable"] == "`products`"
+
+
+def test_all_statuses_are_recorded(spark, shop, tmp_path, monkeypatch):
+    e = Engine(spark, SHOP, shop.tables, home=str(tmp_path))
+    e.ask("how many products")
+    e.ask("zzz qqq")
+    e.run_sql("SELECT name FROM products")
+    for bad in ("SELECT * FROM secret", "SELECT CAST('x' AS INT) AS n FROM products"):
+        with pytest.raises(Exception):
+            e.run_sql(bad)
+    monkeypatch.setattr("askframe.engine.alternatives", lambda *a, **k: 1 / 0)
+    assert e.ask("how many products")["error"].startswith("planning_failed")
+    assert [h["status"] for h in e.history()] == ["gen_error", "exec_error", "invalid_sql", "ok", "no_sql", "ok"]
+
+
 def test_http(spark, tmp_path, fleet):
     e = Engine(spark, FLEET, fleet.tables, home=str(tmp_path))
     assert route(e, "GET", "/api/health", {}, {})[1]["tables"] == 4 and route(e, "GET", "/nothing", {}, {})[0] == 404
