@@ -11,7 +11,7 @@ from pathlib import Path
 import yaml
 from pyspark.sql import types as T
 
-#: Classes of declared types; only classed columns can be filtered or aggregated.
+# Fixed values of the catalog's format: classes of declared types (only classed columns can be filtered or aggregated), type names, and below the fields of its parts.
 CLASSES = {
     "numeric": {"integer", "bigint", "smallint", "numeric", "float", "double precision", "real", "serial", "bigserial"},
     "date": {"date", "timestamp", "timestamptz"},

@@ -23,9 +23,10 @@ TABLES = {
 }
 
 
-def catalog() -> Catalog:
-    tables = []
-    for name, (description, columns) in TABLES.items():
+def build(database: str, tables: dict[str, tuple[str, list[str]]], description: str = "") -> Catalog:
+    """A catalog from tables written as in ``TABLES``."""
+    made = []
+    for name, (about, columns) in tables.items():
         out = []
         for line in columns:
             left, _, also = line.partition(" | ")
@@ -33,8 +34,12 @@ def catalog() -> Catalog:
             words = left.split()
             pk = words[-1] == "pk"
             out.append({"name": words[0], "type": " ".join(words[1 : len(words) - pk]), "pk": pk, "fk": fk or None, "synonyms": [s.strip() for s in also.split(",") if s.strip()]})
-        tables.append({"name": name, "description": description, "columns": out})
-    return Catalog.from_dict({"database": "demo", "description": "orders, events and documents", "tables": tables})
+        made.append({"name": name, "description": about, "columns": out})
+    return Catalog.from_dict({"database": database, "description": description, "tables": made})
+
+
+def catalog() -> Catalog:
+    return build("demo", TABLES, "orders, events and documents")
 
 
 def derived(spark: SparkSession, path: str) -> dict[str, DataFrame]:
