@@ -43,7 +43,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 200_000:
+            if len(self) >= 60_000:
                 self.clear()
             self[word] = got
         return got

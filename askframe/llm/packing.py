@@ -28,7 +28,7 @@ NODES = 4_000
 #: Fillings looked at for one sequence, and alternatives tried at one branching.
 FILLINGS, BRANCHES = 400, 3
 #: Words whose ids a worker keeps; then it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, ((length, how many of it), ...)
 

@@ -37,7 +37,7 @@ class Terms(dict):
         full = xxhash.xxh3_64_intdigest(word.encode(errors="replace")) % BUCKETS
         got = (full, xxhash.xxh3_64_intdigest(b"^" + word[:4].encode(errors="replace")) % BUCKETS) if len(word) > 4 else (full,)
         if len(word) <= 40:
-            if len(self) >= 200_000:
+            if len(self) >= 60_000:
                 self.clear()
             self[word] = got
         return got
