@@ -132,4 +132,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = seen
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-    return ids.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    out = ids.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    out._askframe_path = now._askframe_path  # for :func:`drop`
+    return out

@@ -71,8 +71,8 @@ class MultiIndex:
         return distances(x[:, :h], self.first), distances(x[:, h:], self.second)
 
     def bound(self, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
-        """The largest sum of distances of a visited cell."""
-        return d1.min(axis=1) + d2.min(axis=1) + self.margin
+        """The largest sum of distances of a visited cell, with room for rounding: codewords may be all but equal."""
+        return d1.min(axis=1) + d2.min(axis=1) + (self.margin + 1e-9)
 
     def visited_rows(self, d1: np.ndarray, d2: np.ndarray) -> list[np.ndarray]:
         """For each vector the first codewords of visited cells, nearest first."""
@@ -115,7 +115,7 @@ def random_margins(index: MultiIndex, x: np.ndarray, threshold: float, seed: int
 
 def steps(margins: np.ndarray) -> np.ndarray:
     """Margins as numbers of steps, rounded up."""
-    return np.minimum(np.ceil(margins / STEP - 1e-9), STEPS).astype(np.int64)
+    return np.minimum(np.ceil(margins / STEP - 1e-7), STEPS).astype(np.int64)
 
 
 def least_margin(counts: np.ndarray, recall: float) -> float:
@@ -206,13 +206,15 @@ def _links(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFra
     # an index for each length of vectors
     lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("part").alias("parts")).orderBy(F.desc("n"), "d").collect()
     found = spark.createDataFrame([], "key long, n long, other long")
-    used = []
+    used, tables = [], []
     for d, n, parts in lengths:
         if n > 1:
             one = classes.where(F.size("v") == d)
             used.append(spark.sparkContext.broadcast(fitted(one, d, n, parts, threshold, recall)))  # codebooks: at most 2 * MOST_WORDS half vectors
-            found = found.unionByName(_links_of_length(one, d, used[-1], threshold))
+            links, placed = _links_of_length(one, d, used[-1], threshold)
+            found, tables = found.unionByName(links), [*tables, *placed]
     found = written(found)
+    drop(*tables)
     for shared in used:
         shared.destroy()
     n = found.where("other IS NULL").groupBy("key").agg(F.sum("n").alias("n"))
@@ -259,8 +261,8 @@ def _vectors_of(d: int):
     return vectors
 
 
-def _links_of_length(classes: DataFrame, d: int, shared: Broadcast, threshold: float) -> DataFrame:
-    """(``key``, ``n``, ``other``): counts to be added up, and edges."""
+def _links_of_length(classes: DataFrame, d: int, shared: Broadcast, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(``key``, ``n``, ``other``): counts to be added up, and edges. Also the tables that it reads."""
     vectors = _vectors_of(d)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +295,5 @@ def _links_of_length(classes: DataFrame, d: int, shared: Broadcast, threshold: f
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([*n.values(), *[None] * len(edges)], pa.int64()), pa.array([*[None] * len(n), *(v for _, v in edges)], pa.int64())], ["key", "n", "other"])
 
     columns = ["part", "row", "mine", "theirs", "key", "copies", "v", "member"]
-    return visitors.select(columns).unionByName(members.select(columns)).groupBy("part", "row", "mine", "theirs").applyInArrow(solve, "key long, n long, other long")
+    blocks = visitors.select(columns).unionByName(members.select(columns)).groupBy("part", "row", "mine", "theirs")
+    return blocks.applyInArrow(solve, "key long, n long, other long"), [placed, sizes]

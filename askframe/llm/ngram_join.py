@@ -223,11 +223,13 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """``label`` (written) with ``comp`` after ``links``; a component is named by its smallest class."""
+    """``label`` (written) with ``comp`` after ``links`` (which go); a component is named by its smallest class."""
     of = label.select("cid", "comp")
     edges = links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select("u", "v")
     ends = components(edges, "u", "v")
-    return written(label.join(ends, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("component_id", "comp")).drop("id", "component_id"))
+    out = written(label.join(ends, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("component_id", "comp")).drop("id", "component_id"))
+    drop(ends, links)
+    return out
 
 
 def _open(wide: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
     members = written(linkable.join(copies, ["n", "ph", "sh"]).select("doc_id", "cid").where("doc_id <> cid").distinct())
     slim = classes.select("cid", "gid", "n")
     rest = written(members.select("doc_id").unionByName(slim.where("cid <> gid").select(F.col("cid").alias("doc_id"))).distinct())
-    total = pre.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    total = pre.agg(F.sum(F.col("n").cast("long") * (100 - percent) / 100 + 1)).first()[0] or 0
     reps = pre.where("n > 0 AND doc_id IS NOT NULL").join(small(rest), "doc_id", "left_anti").select(F.col("doc_id").alias("gid"), "prefix")
     posts = written(shared_postings(reps, int(total), sketch))
     drop(rest, pre)
@@ -328,7 +330,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = WORDS, p
         rest = _without(wide, pivots.select("h", "p.cid")).drop("comp").join(label.select("cid", "comp"), "cid")
         old, wide = wide, _open(rest, percent)
         drop(old, pivots)
-    drop(wide, *tried)
+    drop(wide, classes, *tried)
 
     # classes to documents
     base = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"))

@@ -24,9 +24,11 @@ from pyspark.sql.window import Window
 from askframe.llm.common import free_name, written
 
 #: Nodes that the search for a better packing may visit before the incumbent stands.
-NODES = 4_000
-#: Fillings looked at for one sequence, and alternatives tried at one branching.
+NODES = 8_000
+#: Steps of looking for fillings of one sequence, and fillings without waste after which it ends where lengths are many.
 FILLINGS, BRANCHES = 400, 3
+#: Up to so many lengths, all are tried at each step, for so many steps; up to so many pieces, sequences are decided one by one.
+FEW_LENGTHS, FEW_STEPS, FEW_PIECES = 24, 10_000, 200
 #: Words whose ids a worker keeps; then it starts anew.
 CACHE = 150_000
 
@@ -167,120 +169,163 @@ def _put(open_: dict, rooms: list[int], room: int, pattern: tuple) -> None:
     open_[room].append(pattern)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of ``room`` as (waste, ((length, times), ...)), least waste first, then fewest and largest items.
+def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Undominated fillings of ``room`` as (waste, ((length, times), ...)), least waste first, then fewest items.
 
-    Items come in decreasing order and each is as large as the room allows or smaller; a filling to which
-    another item could be added, or that a single larger item in place of its last one would fill better, is dominated
-    and left out. Those with more waste than the best so far are cut off.
+    ``lengths`` go down. Items come in decreasing order. A filling is dominated, and left out, if another item could be added to it, or if one item left over
+    could take the place of one of its items, or of two, and fill no less. Few lengths are all looked at; of many, those next below
+    the room left and those that fill it with one or two items; after ``FILLINGS`` steps (``FEW_STEPS``) what was found stands.
     """
+    wide = len(lengths) <= FEW_LENGTHS
     found: list[tuple[int, int, tuple]] = []
-    looked = 0
-    best = room + 1
+    looked, best = 0, room + 1
     stack: list[tuple[int, int, tuple]] = [(room, 0, ())]
-    while stack and looked < most:
+    while stack and looked < (FEW_STEPS if wide else FILLINGS):
         left, i, items = stack.pop()
         looked += 1
-        # the first length that fits
-        lo, hi = i, len(lengths)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
+        lo = _first_at_most(lengths, left, i)
         used = dict(items)
         while lo < len(lengths) and used.get(lengths[lo], 0) >= counts[lengths[lo]]:
             lo += 1
         if lo == len(lengths):
-            if left < best or left == 0:
-                best = min(best, left)
-                found.append((left, sum(k for _, k in items), items))
-                if best == 0 and len(found) >= BRANCHES:
-                    break
+            best = min(best, left)
+            found.append((left, sum(k for _, k in items), items))
+            if best == 0 and not wide and len(found) >= BRANCHES:
+                break
             continue
-        # children in order of size; the largest is looked at first, then a few smaller ones, also one that fits exactly in two
-        options = []
-        for j in range(lo, min(lo + 12, len(lengths))):
-            x = lengths[j]
-            if used.get(x, 0) < counts[x]:
-                options.append((x, j))
-        rest = [(x, j) for x, j in options if left - x == 0 or used.get(left - x, 0) + (left - x == x) < counts.get(left - x, 0)]
-        for x, j in [*reversed([o for o in options if o not in rest]), *reversed(rest)]:
+        options = [(lengths[j], j) for j in range(lo, len(lengths) if wide else min(lo + 12, len(lengths))) if used.get(lengths[j], 0) < counts[lengths[j]]]
+        exact = [(x, j) for x, j in options if left - x == 0 or used.get(left - x, 0) + (left - x == x) < counts.get(left - x, 0)]
+        # the last one put on the stack is looked at first: what fills exactly, then the largest
+        for x, j in [*reversed([o for o in options if o not in exact]), *reversed(exact)]:
             more = dict(items)
             more[x] = more.get(x, 0) + 1
             stack.append((left - x, j, tuple(more.items())))
-    return [(w, items) for w, _, items in sorted(found, key=lambda f: (f[0], f[1]))]
+    ranked = sorted(found, key=lambda f: (f[0], f[1]))
+    kept = [(w, items) for w, _, items in ranked if not _dominated(lengths, counts, w, items)]
+    return kept or [(w, items) for w, _, items in ranked[:1]]
+
+
+def _first_at_most(lengths: list[int], room: int, lo: int = 0) -> int:
+    """The first place from ``lo`` on of a length that is no larger than ``room``."""
+    hi = len(lengths)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (mid + 1, hi) if lengths[mid] > room else (lo, mid)
+    return lo
+
+
+def _dominated(lengths: list[int], counts: dict[int, int], waste: int, items: tuple[tuple[int, int], ...]) -> bool:
+    """Whether an item left over is larger than one of ``items`` by no more than the waste, or as large as two together by no more than it."""
+    if not waste:
+        return False
+    used = dict(items)
+
+    def free(least: int, most: int) -> bool:
+        j = _first_at_most(lengths, most)
+        while j < len(lengths) and lengths[j] >= least:
+            if used.get(lengths[j], 0) < counts[lengths[j]]:
+                return True
+            j += 1
+        return False
+
+    for i, (x, n) in enumerate(items):
+        if free(x + 1, x + waste):
+            return True
+        for y in [x] * (n > 1) + [y for y, _ in items[i + 1 :]]:
+            if free(x + y, x + y + waste):
+                return True
+    return False
+
+
+class _Search:
+    """Branch and bound over sequences, each around the largest piece left."""
+
+    def __init__(self, counts: dict[int, int], window: int):
+        self.counts, self.window = dict(counts), window
+        self.lengths = sorted(counts, reverse=True)
+        self.total = sum(k * v for k, v in counts.items())
+        # with few pieces a filling is used once at each node, so that no packing is passed over; else as often as it goes
+        self.once = sum(counts.values()) <= FEW_PIECES
+        self.made, self.waste = 0, 0
+        self.path: list[tuple[int, int, dict[int, int]]] = []  # times, waste of one, pattern
+
+    def options(self) -> list[tuple[int, dict[int, int]]]:
+        top = self.lengths[0]
+        if top == self.window:
+            return [(0, {top: 1})]
+        self.counts[top] -= 1
+        found = fillings(self.lengths, self.counts, self.window - top)
+        self.counts[top] += 1
+        out = []
+        for w, items in found or [(self.window - top, ())]:
+            pattern = dict(items)
+            pattern[top] = pattern.get(top, 0) + 1
+            out.append((w, pattern))
+        return out
+
+    def put(self, waste: int, pattern: dict[int, int]) -> None:
+        times = 1 if self.once else min(self.counts[x] // k for x, k in pattern.items())
+        for x, k in pattern.items():
+            self.counts[x] -= k * times
+            if not self.counts[x]:
+                self.lengths.pop(_first_at_most(self.lengths, x))
+        self.made += times
+        self.waste += waste * times
+        self.path.append((times, waste, pattern))
+
+    def take_back(self) -> None:
+        times, waste, pattern = self.path.pop()
+        for x, k in pattern.items():
+            if not self.counts[x]:
+                self.lengths.insert(_first_at_most(self.lengths, x), x)
+            self.counts[x] += k * times
+        self.made -= times
+        self.waste -= waste * times
 
 
-def complete(counts: dict[int, int], window: int, choose: Callable[[int, int], int] = lambda depth, n: 0, limit: int | None = None) -> list[Pattern] | None:
-    """One packing by bin completion; ``choose`` picks among the fillings at each depth. None if it needs ``limit`` sequences or more."""
-    counts = dict(counts)
-    lengths = sorted(counts, reverse=True)
-    out: list[Pattern] = []
-    made, waste = 0, 0
-    total = sum(k * v for k, v in counts.items())
-    slack = None if limit is None else (limit - 1) * window - total  # waste that a better packing may have
-    depth = 0
-    while lengths:
-        top = lengths[0]
-        counts[top] -= 1
-        if top == window:
-            best, n = [(0, ())], 1
-        else:
-            best = fillings(lengths, counts, window - top)
-            n = len(best)
-        counts[top] += 1
-        w, items = best[min(choose(depth, n), n - 1)] if best else (window - top, ())
-        pattern = dict(items)
-        pattern[top] = pattern.get(top, 0) + 1
-        times = min(counts[x] // k for x, k in pattern.items())
-        out.append((times, tuple(sorted(pattern.items(), reverse=True))))
-        made += times
-        waste += w * times
-        for x, k in pattern.items():
-            counts[x] -= k * times
-        lengths = [x for x in lengths if counts[x]]
-        depth += 1
-        if slack is not None and (waste > slack if lengths else made >= limit):
-            return None
-    return out
+def search(counts: dict[int, int], window: int, limit: int, bound: int, nodes: int) -> list[Pattern] | None:
+    """A packing of fewer than ``limit`` sequences by bin completion, the best found within ``nodes`` nodes; None if there was none.
+
+    Depth first, the filling of least waste first. A branch is left when its waste exceeds what a packing better than the best so far may have in all. The
+    search ends when ``bound`` is met or all branches are done: then nothing is better.
+    """
+    s, best = _Search(counts, window), None
+    untried: list[list[tuple[int, dict[int, int]]]] = []  # of each node on the way down, and then of the node itself
+    for _ in range(nodes):
+        slack = (limit - 1) * window - s.total
+        if not s.lengths and s.made < limit:
+            limit = s.made
+            best = [(n, tuple(sorted(p.items(), reverse=True))) for n, _, p in s.path]
+            if limit <= bound:
+                break
+        if s.lengths and s.waste <= slack:
+            untried.append([o for o in reversed(s.options()) if s.waste + o[0] <= slack])
+        elif s.path:
+            s.take_back()
+        while untried and not untried[-1]:
+            untried.pop()
+            if s.path:
+                s.take_back()
+        if not untried:
+            break
+        s.put(*untried[-1].pop())
+    return best
 
 
 def pack(counts: dict[int, int], window: int, nodes: int = NODES) -> list[Pattern]:
     """Patterns that hold all ``counts`` (length -> how many) in few sequences of ``window``.
 
-    Best-fit decreasing is the first incumbent. Bin completion then looks for better ones, branching first on the deepest
-    sequences (limited discrepancy: one choice apart from the best filling, then others), cut off as soon as the waste so far
-    exceeds what a better packing could have, until the bound sum / window is met or ``nodes`` sequences were tried.
+    Best-fit decreasing is the first incumbent; :func:`search` replaces it as long as it finds something better, until the bound (total length, or
+    pieces over half a window) is met, all branches are done, or ``nodes`` nodes were seen: then the incumbent stands.
     """
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return []
-    n_of = lambda p: sum(n for n, _ in p)
     total = sum(k * v for k, v in counts.items())
-    alone = sum(v for k, v in counts.items() if 2 * k > window)
-    bound = max(-(-total // window), alone)
+    bound = max(-(-total // window), sum(v for k, v in counts.items() if 2 * k > window))
     best = best_fit(counts, window)
-    tried = 0
-    turn = 0
-    while n_of(best) > bound and tried < nodes:
-        # turn 0 takes the best filling everywhere; turn t > 0 takes another one at depth (t - 1) // (BRANCHES - 1)
-        at, other = ((turn - 1) // (BRANCHES - 1), 1 + (turn - 1) % (BRANCHES - 1)) if turn else (-1, 0)
-        seen = [0, 0]
-
-        def choose(depth: int, n: int, at: int = at, other: int = other, seen: list = seen) -> int:
-            seen[0] = depth
-            if depth == at:
-                seen[1] = n
-                return other
-            return 0
-
-        new = complete(counts, window, choose, n_of(best))
-        tried += seen[0] + 1
-        if new is not None and n_of(new) < n_of(best):
-            best, turn = new, 0
-        elif turn and at > seen[0]:
-            break
-        turn += 1
-    return best
+    n = sum(k for k, _ in best)
+    return (search(counts, window, n, bound, nodes) if n > bound else None) or best
 
 
 # -- places of pieces --------------------------------------------------------------------------------------------------

@@ -30,6 +30,8 @@ ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 4096
 TRAINING_RECORDS, TRAINING_BYTES, DICTIONARY_BYTES = 64, 8192, 16 << 10
 
 
+#: A payload with more copies than this is not dealt by its digest.
+HOT_COPIES = 512
 #: Bytes of an archive that a frame is fed at first, and at most, at a time.
 FIRST_STEP, LAST_STEP = 4096, 1 << 20
 
@@ -197,13 +199,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     url leaves out its header, a null id is smaller than any other. Archives hold at most ``ARCHIVE_RECORDS``
     records and are a bounded row each, so Spark's own writers can store them wherever it can write.
     """
-    sha, size, best, rev, dup = free_name(pages, "sha", "size", "best", "revisit", "dup")
+    sha, size, best, rev, dup, top, key = free_name(pages, "sha", "size", "best", "revisit", "dup", "top", "key")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     x = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     x = x.withColumn(sha, F.sha1(F.encode("html", "UTF-8"))).withColumn(size, F.octet_length("html"))
     agg = F.max("page_id") if keep == "max" else F.min("page_id")
-    seen = x.where(F.col(size) >= least_bytes).groupBy(sha).agg(agg.alias(best), F.count(F.lit(1)).alias(dup)).where(F.col(dup) > 1).drop(dup)
-    x = x.join(seen, sha, "left").withColumn(rev, F.col(best).isNotNull() & (F.col(size) >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col(best)))
+    seen = written(x.where(F.col(size) >= least_bytes).groupBy(sha).agg(agg.alias(best), F.count(F.lit(1)).alias(dup)).where(F.col(dup) > 1))
+    # payloads with very many copies are few, at most a row in HOT_COPIES, and go first; their rows then go on with keys of their own, dealt over many tasks
+    x = x.join(seen.where(F.col(dup) > HOT_COPIES).select(sha, F.col(best).alias(top)), sha, "left")
+    x = x.withColumn(key, F.when(F.col(top).isNull(), F.col(sha)).otherwise(F.concat(sha, F.lit("/"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1024)).cast("string"))))
+    x = x.join(seen.where(F.col(dup) <= HOT_COPIES).select(F.col(sha).alias(key), best), key, "left").withColumn(best, F.coalesce(best, top))
+    x = x.withColumn(rev, F.col(best).isNotNull() & (F.col(size) >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col(best)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []

@@ -530,3 +530,30 @@ def test_pipeline_stages(spark, tmp_path):
             assert ids == set(before) and max(r.offset + r.length for r in rows) <= 4096
         kept = out
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in every column, clashing names, repeated rows; then no rows at all."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(9000))
+    rows = [(1, "a b c d e f", "en", "s", 11, "x"), (1, "a b c d e f", "en", "s", 11, "x"), (None, None, None, None, None, None), (None, "A b c d e f", None, None, 1, "y"), (2, "", "en", "s", 0, "z"), (3, long, "en", "t", 5, "z"), (4, long + " tail", "en", "t", 5, "z"), (5, None, "en", "t", 5, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    for name, some in (("odd", rows), ("none", [])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = table(spark, path, "documents")
+        for stage, f in corpus_pipeline.STAGES[:4]:
+            out = f(spark, docs, path)
+            assert out.columns == docs.columns, stage
+            docs = written(out)
+            if name == "none":
+                assert docs.count() == 0
+            elif stage == "exact dedup":  # equal texts stay once, with the largest id
+                assert sorted(((r.doc_id, (r.text or "")[:9]) for r in docs.collect()), key=str) == sorted([(1, "a b c d e"), (3, "w0 w1 w2 "), (4, "w0 w1 w2 "), (5, "")], key=str)
+            elif stage == "near dedup":
+                assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 5]
+        pieces = corpus_pipeline.run(spark, path).collect()
+        assert {r.doc_id for r in pieces} <= {1, 3, 5} and (name == "none") == (not pieces)
+        assert all(r.offset + r.length <= 4096 for r in pieces)
