@@ -56,7 +56,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
     id are separate rows. Reruns give the same counts for the same rows. An empty table gives an empty result.
     Columns of ``df`` with these four names are replaced.
     """
-    src, key, rank, before, n, at, offset = free_name(df, "src_key", "mix_key", "mix_rank", "mix_before", "mix_n", "mix_salts", "mix_offset")
+    src, key, rank, before, n, at, offset, row, same, keys = free_name(df, "src_key", "mix_key", "mix_rank", "mix_before", "mix_n", "mix_salts", "mix_offset", "mix_row", "mix_id", "mix_keys")
     base = df.drop("size", "source_size", "target", "copies").withColumn("size", size)
     # never null, and one to one with the source
     base = written(base.withColumn(src, F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))))
@@ -67,11 +67,15 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tupl
     per = per.withColumn(before, F.sum(n).over(Window.partitionBy(src).orderBy("size")) - F.col(n))
     per = per.withColumn(at, F.ceil(F.col(n) / PER_BUCKET)).withColumn(key, F.concat(F.col("size").cast("string"), F.lit("/"), F.col(src)))
     per = written(per.join(goal, src).drop(n))
-    joined = written(base.join(per, [src, "size"]))
+    joined = written(base.join(per, [src, "size"]).withColumn(row, F.monotonically_increasing_id()))
     drop(base, per)
-    x = rank_within(joined, key, [id_col], F.col(at), rank)
+    # rows of one id, source and size that are very many are dealt by their row number too
+    many = written(joined.groupBy(key, F.col(id_col).alias(same)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > PER_BUCKET).withColumn(n, F.ceil(F.col(n) / PER_BUCKET)).withColumnRenamed(key, keys))
+    dealt = joined.join(many, (F.col(key) == F.col(keys)) & F.col(id_col).eqNullSafe(F.col(same)), "left")
+    dealt = dealt.withColumn(n, F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row), F.col(n)))).drop(keys, same, row)
+    x = rank_within(dealt, key, [id_col, n], F.col(at), rank)
     x = written(x)
-    drop(joined)
+    drop(joined, many)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col(before) + F.col(rank)
     drawn = _offsets(x, src, rate, place * rate, seed, offset)

@@ -189,7 +189,7 @@ def reshard(df: DataFrame, id_col: str, old: Column, size: Column, shards: int,
         x = x.join(alone, [home, own], "left").join(cut, home, "left")
         later = F.filter(cuts, lambda c: c["bin"] >= bin_(F.col(own)))
         x = x.withColumn("shard", F.coalesce(F.col(to), F.get(later, F.lit(0))["shard"], F.element_at(cuts, -1)["shard"])).drop(to, cuts)
-        return x.withColumn(file, F.pmod(F.xxhash64(id_), F.element_at(per_shard, F.col("shard"))))
+        return x.withColumn(file, F.pmod(F.xxhash64(id_, F.col(own)), F.element_at(per_shard, F.col("shard"))))
 
     counts = located(slim.withColumnsRenamed({"old": home, "h": own}), F.col("id")).groupBy("shard", file).agg(F.count(F.lit(1)).alias(files))
     starts = written(counts.select("shard", file, (F.sum(files).over(Window.partitionBy("shard").orderBy(file)) - F.col(files)).alias(start)))

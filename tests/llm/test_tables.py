@@ -13,9 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from askframe.llm import chat_format, embedding_dedup, mixing, resharding, warc
+from askframe.llm import chat_format, embedding_dedup, mixing, packing, resharding, toxicity, warc
 from askframe.llm.common import components, words, written
-from askframe.llm.queries import op5_chat_formatting, op8_warc, table
+from askframe.llm.queries import op5_chat_formatting, op8_warc, table, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -286,6 +286,18 @@ def test_mix_query_against_its_contract(spark, tmp_path):
         assert Counter((x.doc_id, x.source, x.size, x.taken) for x in got) == Counter((x.doc_id, x.source, x.size, x.taken) for x in again)
 
 
+def test_mix_of_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_BUCKET", 8)
+    df = spark.createDataFrame([(None, "a b", "s")] * 300 + [(i, "a b", "s") for i in range(100)] + [(i, "c", "t") for i in range(500)], "doc_id long, text string, source string")
+    runs = [Counter((r.doc_id, r.source, r.copies) for r in mixing.mix(df, "doc_id", "source", words(F.col("text"))).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 900
+    taken = Counter()
+    for (_, source, copies), n in runs[0].items():
+        taken[source] += n * copies * (2 if source == "s" else 1)
+    goal = brute_targets({"s": 800, "t": 500}, (1, 2, 3), 3)
+    assert all(abs(taken[k] - goal[k]) <= 2 for k in goal)
+
+
 def test_mix_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s")] * 10 + [(None, None, None)] * 3, "doc_id long, text string, source string")
     got = mixing.mix(df, "doc_id", "source", words(F.col("text"))).collect()
@@ -519,15 +531,42 @@ def test_pipeline_stages(spark, tmp_path):
         ids = {r.doc_id for r in rows}
         assert ids <= set(before)
         if i < 4:
-            assert out.columns == docs.columns and all(r.text == before[r.doc_id].text for r in rows)
+            assert out.columns == docs.columns and all(r == before[r.doc_id] for r in rows)
         if name == "exact dedup":
             assert ids == set({lower(r.text): k for k, r in sorted(before.items())}.values())
         elif name == "near dedup":
             order = sorted(before)
             comp = brute_components([before[k].text for k in order])
             assert ids == {order[c] for _, c in comp.values()}
+        elif name == "toxicity":  # each text scored by itself, by the model's definition
+            model = toxicity.fit(kept, table(spark, SF, "labels"))
+            for r in before.values():
+                terms = toxicity.hashed_terms(r.text or "")
+                v = model.v[terms]
+                margin = model.w0 + model.w[terms].sum() + ((v.sum(axis=0) ** 2).sum() - (v * v).sum()) / 2
+                assert abs(margin) < 1e-4 or (r.doc_id in ids) == (margin < 0)
+        elif name == "mixing":
+            size = lambda t: len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w])
+            by, taken = defaultdict(list), Counter()
+            for r in before.values():
+                by[r.source].append(size(r.text))
+            for r in rows:
+                taken[r.source] += size(r.text)
+            goal = brute_targets({k: sum(v) for k, v in by.items()}, (1, 2, 3), 3)
+            assert all(abs(taken[k] - goal[k]) <= max(v) / 2 for k, v in by.items()) and max(Counter(r.doc_id for r in rows).values()) <= 3
         elif name == "packing":
-            assert ids == set(before) and max(r.offset + r.length for r in rows) <= 4096
+            tokenizer = packing.word_encoder(vocabulary("word_bpe_49k.json")).tokenizer
+            expected = Counter()
+            for r in kept.collect():  # a document that was taken twice is packed twice
+                n = len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+                expected.update((r.doc_id, i, at, min(4096, n - at)) for i, at in enumerate(range(0, n, 4096)))
+            assert Counter((r.doc_id, r.piece, r.start, r.length) for r in rows) == expected
+            places = defaultdict(list)
+            for r in rows:
+                places[r.sequence_id].append((r.offset, r.length))
+            for v in places.values():
+                ends = np.cumsum([k for _, k in sorted(v)])
+                assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= 4096
         kept = out
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
 
